@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import encoding, redaction
+from scanfold.llm import encoding, lookalike, redaction
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,9 +27,33 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redaction.redact(_snippets(spark, d), "finding_id", "snippet", "file")
 
 
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets and decoded texts as one table (kind, row_id, text)."""
+    snippets = table(spark, d, "findings").select(F.lit("snippet").alias("kind"), F.col("finding_id").alias("row_id"), F.col("snippet").alias("text"))
+    decoded = table(spark, d, "decoded_content").select(F.lit("decoded").alias("kind"), F.col("decoded_id").alias("row_id"), F.col("decoded").alias("text"))
+    return snippets.unionByName(decoded)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that show a watch phrase in other characters than its own."""
+    phrases = table(spark, d, "watch_phrases")
+    rows = _shown(spark, d).select(F.concat_ws(":", "kind", "row_id").alias("key"), "text").where(F.col("key").contains(":"))
+    found = lookalike.disguised_phrases(rows, "key", "text", phrases, "phrase_id", "phrase")
+    part = F.split("key", ":")
+    return found.select(part[0].alias("kind"), part[1].cast("long").alias("row_id"), "phrase_id")
+
+
+def p6_one_form(spark: SparkSession, d: str) -> DataFrame:
+    """All snippets and decoded texts in their one form."""
+    rows = _shown(spark, d).select(F.struct("kind", "row_id").alias("key"), "text")
+    return lookalike.one_form(rows.select(F.concat_ws(":", "key.kind", "key.row_id").alias("key"), "text"), "key", "text").select(
+        F.split("key", ":")[0].alias("kind"), F.get(F.split("key", ":"), F.lit(1)).cast("long").alias("row_id"), "text"
+    )
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of byte_bpe_50k for each document."""
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p7_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p6_found, p6_one_form, p7_ids)}
