@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import encoding, lookalike, redaction
+from scanfold.llm import encoding, leaks, level, lookalike, redaction
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,4 +56,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p6_found, p6_one_form, p7_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that leaks evaluation items, and the items."""
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with English prose, and its reading level."""
+    return level.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), "doc_id", "text", "level")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p6_found, p6_one_form, p7_ids, p8_found, p9_found)}
