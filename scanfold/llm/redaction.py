@@ -14,7 +14,7 @@ from scanfold.llm.encoding import broadcast_vocabulary
 
 def suspect(text: Column, file: Column) -> Column:
     """Can the row hold a credential at all? Decided in the JVM; most rows never reach Python."""
-    return F.coalesce(text.rlike(secrets.SUSPECT) | F.coalesce(file, F.lit("")).rlike(secrets.SUSPECT_FILE), F.lit(False))
+    return text.isNotNull() & F.coalesce(text.rlike(secrets.SUSPECT) | F.coalesce(file, F.lit("")).rlike(secrets.SUSPECT_FILE), F.lit(False))
 
 
 def _scan(df: DataFrame, row_id: str, text: str, file: str | None, vocabulary: str | None, schema: str, emit: Callable) -> DataFrame:
