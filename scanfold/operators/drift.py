@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanfold.session import written
+
 
 def json_type(v: Column) -> Column:
     """string, number, boolean, list or object; null for a JSON null."""
@@ -41,7 +43,7 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
     r = r.select("record_no", "producer", "release", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode("__f").alias("field", "__v"))
     r = r.withColumn("type", json_type(F.col("__v"))).where(F.col("type").isNotNull())
     items = F.when(F.col("type") == "list", F.try_variant_get(F.col("__v"), "$", "array<variant>"))
-    return r.select(
+    out = r.select(
         "record_no",
         "producer",
         "release",
@@ -51,6 +53,7 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
         F.to_json("__v").alias("value"),
         F.to_json(F.when(F.size(items) == 1, items[0]).otherwise(F.col("__v"))).alias("same_as"),
     )
+    return written(out, "fields")  # read several times by what follows
 
 
 def footers(fields: DataFrame) -> DataFrame:
@@ -87,22 +90,27 @@ def changes(fields: DataFrame, foot: DataFrame | None = None) -> DataFrame:
     release has no change.
     """
     foot = footers(fields) if foot is None else foot
-    by_producer = Window.partitionBy("producer")
-    pos = foot.select("producer", "release").distinct().withColumn("pos", F.dense_rank().over(by_producer.orderBy("release")))
-    last = pos.withColumn("last_pos", F.max("pos").over(by_producer)).withColumn("next_release", F.lead("release").over(by_producer.orderBy("pos")))
-    seen = foot.join(last, ["producer", "release"])
-    w = Window.partitionBy("producer", "field").orderBy("pos")
-    seen = seen.withColumn("prev_pos", F.lag("pos").over(w)).withColumn("prev_type", F.lag("type").over(w)).withColumn("next_pos", F.lead("pos").over(w))
-    here = F.col("prev_pos") == F.col("pos") - 1
-    starts = seen.where((F.col("pos") > 1) & ~F.coalesce(here, F.lit(False))).select("producer", "release", F.col("field").alias("new_field"), F.col("type").alias("new_type"))
-    ends = seen.where((F.col("pos") < F.col("last_pos")) & ~F.coalesce(F.col("next_pos") == F.col("pos") + 1, F.lit(False))).select(
-        "producer", F.col("next_release").alias("release"), F.col("release").alias("old_release"), F.col("field").alias("old_field"), F.col("type").alias("old_type")
-    )
-    pairs = ends.join(starts, ["producer", "release"])  # a few fields of one release
+    order = Window.partitionBy("producer").orderBy("pos")
+    per_field = Window.partitionBy("producer", "field").orderBy("pos")
+    ranked = foot.withColumn("pos", F.dense_rank().over(Window.partitionBy("producer").orderBy("release")))
+    releases = ranked.groupBy("producer", "pos").agg(F.first("release").alias("release")).withColumn("next_release", F.lead("release").over(order))
+    step = ranked.withColumns({"prev_pos": F.lag("pos").over(per_field), "prev_type": F.lag("type").over(per_field), "next_pos": F.lead("pos").over(per_field)})
+    step = step.join(releases.select("producer", "pos", "next_release"), ["producer", "pos"])
+    here = F.coalesce(F.col("prev_pos") == F.col("pos") - 1, F.lit(False))
+    goes_on = F.coalesce(F.col("next_pos") == F.col("pos") + 1, F.lit(False))
+    no_release = F.when(F.lit(False), F.col("release"))
+    start = F.when((F.col("pos") > 1) & ~here, F.struct(F.lit("start").alias("what"), F.col("release").alias("at"), no_release.alias("was")))
+    end = F.when(F.col("next_release").isNotNull() & ~goes_on, F.struct(F.lit("end").alias("what"), F.col("next_release").alias("at"), F.col("release").alias("was")))
+    retyped = F.when(here & (F.col("type") != F.col("prev_type")), F.struct(F.lit("retyped").alias("what"), F.col("release").alias("at"), no_release.alias("was")))
+    # the log: a row for each start, ending and change of type; as small as the footers
+    log = written(step.select("producer", "field", "type", F.explode(F.array_compact(F.array(start, end, retyped))).alias("e")).select("producer", "field", "type", "e.*"), "lifespans")
+    starts = log.where("what = 'start'").select("producer", F.col("at").alias("release"), F.col("field").alias("new_field"), F.col("type").alias("new_type"))
+    ends = log.where("what = 'end'").select("producer", F.col("at").alias("release"), F.col("was").alias("old_release"), F.col("field").alias("old_field"), F.col("type").alias("old_type"))
     before = fields.select("producer", F.col("release").alias("old_release"), F.col("field").alias("old_field"), "rid", F.col("same_as").alias("old_value"))
     after = fields.select("producer", "release", F.col("field").alias("new_field"), "rid", F.col("same_as").alias("new_value"))
     agree = (
-        pairs.join(before, ["producer", "old_release", "old_field"])
+        ends.join(starts, ["producer", "release"])  # a few fields of one release
+        .join(before, ["producer", "old_release", "old_field"])
         .join(after, ["producer", "release", "new_field", "rid"])
         .where(F.col("rid").isNotNull())
         .groupBy("producer", "release", "old_field", "new_field", "old_type", "new_type")
@@ -111,15 +119,15 @@ def changes(fields: DataFrame, foot: DataFrame | None = None) -> DataFrame:
     )
     best = lambda col: F.row_number().over(Window.partitionBy("producer", "release", col).orderBy(F.desc("same"), "old_field", "new_field"))
     renamed = agree.withColumn("__a", best("old_field")).withColumn("__b", best("new_field")).where((F.col("__a") == 1) & (F.col("__b") == 1))
+    renamed = written(renamed.select("producer", "release", "old_field", "new_field", "old_type", "new_type"), "renames")
+    row = lambda field, change, new: F.struct(F.col(field).alias("field"), F.lit(change).alias("change"), new.alias("new_field"))
     none = F.lit("")
-    out = renamed.select("producer", "release", F.col("old_field").alias("field"), F.lit("renamed").alias("change"), "new_field")
-    out = out.unionByName(renamed.where(F.col("old_type") != F.col("new_type")).select("producer", "release", F.col("new_field").alias("field"), F.lit("retyped").alias("change"), none.alias("new_field")))
-    kept = seen.where(here & (F.col("type") != F.col("prev_type")))
-    out = out.unionByName(kept.select("producer", "release", "field", F.lit("retyped").alias("change"), none.alias("new_field")))
-    gone = ends.join(renamed.select("producer", "release", "old_field"), ["producer", "release", "old_field"], "left_anti")
-    out = out.unionByName(gone.select("producer", "release", F.col("old_field").alias("field"), F.lit("removed").alias("change"), none.alias("new_field")))
-    come = starts.join(renamed.select("producer", "release", "new_field"), ["producer", "release", "new_field"], "left_anti")
-    return out.unionByName(come.select("producer", "release", F.col("new_field").alias("field"), F.lit("added").alias("change"), none.alias("new_field")))
+    pair = F.array_compact(F.array(row("old_field", "renamed", F.col("new_field")), F.when(F.col("old_type") != F.col("new_type"), row("new_field", "retyped", none))))
+    out = renamed.select("producer", "release", F.explode(pair).alias("r")).select("producer", "release", "r.*")
+    taken = renamed.select("producer", F.col("release").alias("at"), F.explode(F.array(F.struct(F.lit("end").alias("what"), F.col("old_field").alias("field")), F.struct(F.lit("start").alias("what"), F.col("new_field").alias("field")))).alias("t"))
+    rest = log.join(taken.select("producer", "at", "t.what", "t.field"), ["producer", "at", "what", "field"], "left_anti")
+    name = F.when(F.col("what") == "end", "removed").when(F.col("what") == "start", "added").otherwise("retyped")
+    return out.unionByName(rest.select("producer", F.col("at").alias("release"), "field", name.alias("change"), none.alias("new_field")))
 
 
 def alias_table(found: DataFrame, foot: DataFrame, max_names: int = 10_000) -> dict[str, str]:
