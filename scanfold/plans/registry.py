@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from scanfold.plans import dealt
+from scanfold.plans import dealt, scan
 
-FLAGSHIP = "p1_found"
-QUERIES = {**dealt.QUERIES}
-ORACLE = {**dealt.ORACLE}
+_PLANS = (scan, dealt)
+FLAGSHIP = "scan_findings"
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
