@@ -24,57 +24,53 @@ def position(label: Column, depth: int) -> Column:
     return F.element_at(F.split(label, r"\."), depth + 1).cast("int")
 
 
-def is_list(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+def as_list(v: Column) -> Column:
+    """The items of a JSON list; null for any other value. Only this level is unpacked."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def as_map(v: Column) -> Column:
+    """The members of a JSON object; null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def is_text(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+def member(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
 
 
-def member(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
-
-
-def opened(v: Column) -> Column:
-    """A value that is JSON within a string, parsed; any other value, and text that is no JSON, as it is."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(is_text(v) & F.ltrim(text).rlike(r"^[\[{]"), F.coalesce(F.try_parse_json(text), v)).otherwise(v)
+def inner_json(v: Column) -> Column:
+    """The value that a JSON text stands for, if the value is a string that holds JSON."""
+    return F.try_parse_json(F.try_variant_get(v, "$", "string"))
 
 
 def unwrapped(v: Column, wrappers: list[str], depth: int = 2) -> Column:
-    """The record inside objects that hold nothing but it under one of the names."""
+    """The record inside objects that hold it under one of the names, up to ``depth`` of them; else the value itself."""
+    paths = [[]]
     for _ in range(depth):
-        for w in wrappers:
-            inner = member(v, w)
-            v = F.when(is_object(v) & is_object(inner), inner).otherwise(v)
-    return v
+        paths += [[*p, w] for p in paths if len(p) == len(paths[-1]) for w in wrappers]
+    inner = [member(v, ".".join(p)) for p in sorted(paths[1:], key=len, reverse=True)]
+    return F.coalesce(*[F.when(as_map(i).isNotNull(), i) for i in inner], v)
 
 
 def items(v: Column) -> Column:
-    """The value as array<variant>: a list's items, a lone object as the only one, else none."""
-    o = opened(v)
-    return F.when(is_list(o), F.try_variant_get(o, "$", "array<variant>")).when(is_object(o), F.array(o))
+    """The value as array<variant>: a list's items, a lone object as the only one, the same inside a string; else null."""
+    p = inner_json(v)
+    return F.coalesce(as_list(v), F.when(as_map(v).isNotNull(), F.array(v)), as_list(p), F.when(as_map(p).isNotNull(), F.array(p)))
 
 
 def entries(v: Column) -> Column:
-    """A map's entries in one form, from an object or a list of {key, value} objects.
+    """A map's entries in one form, from an object or a list of {key, value} objects, also inside a string.
 
     array<struct<key string, value variant>>, in the order of the list, or of the keys for an object.
     A list item without a key gives no entry.
     """
-    o = opened(v)
-    pairs = F.map_entries(F.try_variant_get(o, "$", "map<string,variant>"))
-    listed = F.transform(
-        F.try_variant_get(o, "$", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.key", "string").alias("key"), F.try_variant_get(e, "$.value", "variant").alias("value"))
-    )
-    return F.when(is_object(o), F.array_sort(pairs, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))).when(
-        is_list(o), F.filter(listed, lambda e: e["key"].isNotNull())
-    )
+
+    def of(x: Column) -> list[Column]:
+        pairs = F.array_sort(F.map_entries(as_map(x)), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        listed = F.transform(as_list(x), lambda e: F.struct(F.try_variant_get(e, "$.key", "string").alias("key"), member(e, "value").alias("value")))
+        return [pairs, F.filter(listed, lambda e: e["key"].isNotNull())]
+
+    return F.coalesce(*of(v), *of(inner_json(v)))
 
 
 def children(nodes: DataFrame, of: Column, path: str) -> DataFrame:
@@ -82,28 +78,32 @@ def children(nodes: DataFrame, of: Column, path: str) -> DataFrame:
 
     Null items take a position and give no node.
     """
-    deep = nodes.select("label", F.posexplode(items(of)).alias("__i", "__v")).where(is_object(F.col("__v")))
+    deep = nodes.select("label", F.posexplode(items(of)).alias("__i", "__v")).where(as_map(F.col("__v")).isNotNull())
     return deep.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("__v").alias("v"), F.lit(path).alias("path"))
 
 
 def records(df: DataFrame, record_id: str, payload: str, wrappers: list[str]) -> DataFrame:
     """The record nodes: label is the id. Null, blank and cut off payloads give none; redelivered ids one."""
     one = df.select(F.col(record_id).cast("string").alias("label"), F.col(payload).alias("__p")).where(F.col("label").isNotNull() & F.col("__p").isNotNull())
-    parsed = one.dropDuplicates(["label"]).select("label", unwrapped(F.try_parse_json("__p"), wrappers).alias("v"))
-    return parsed.where(is_object(F.col("v"))).withColumn("path", F.lit("report"))
+    # an explode of one value keeps the planner from repeating the parse in every later expression
+    parsed = one.dropDuplicates(["label"]).select("label", F.explode(F.array(F.try_parse_json("__p"))).alias("v")).where(F.col("v").isNotNull())
+    inner = parsed.select("label", F.explode(F.array(unwrapped(F.col("v"), wrappers))).alias("v"))
+    return inner.where(as_map(F.col("v")).isNotNull()).withColumn("path", F.lit("report"))
 
 
 def location_line(v: Column) -> Column:
     """The start line of a location: its start_line, or the number at the end of `file:line`; 0 if there is none."""
-    o = opened(v)
-    from_object = F.coalesce(F.try_variant_get(o, "$.start_line", "int"), F.try_variant_get(o, "$.start_line", "string").try_cast("int"))
-    from_text = F.regexp_extract(F.try_variant_get(o, "$", "string"), r":(\d+)(?::\d+)?\s*$", 1).try_cast("int")
-    return F.coalesce(F.when(is_text(o), from_text).otherwise(from_object), F.lit(0))
+    text = F.try_variant_get(v, "$", "string")
+    number = lambda x: F.coalesce(F.try_variant_get(x, "$.start_line", "int"), F.try_variant_get(x, "$.start_line", "string").try_cast("int"))
+    in_text = F.regexp_extract(text, r":(\d+)(?::\d+)?\s*$", 1).try_cast("int")
+    return F.coalesce(number(v), in_text, number(F.try_parse_json(text)), F.lit(0))
 
 
 def location_file(v: Column) -> Column:
-    o = opened(v)
-    return F.when(is_text(o), F.regexp_replace(F.try_variant_get(o, "$", "string"), r"(?::\d+){1,2}\s*$", "")).otherwise(F.try_variant_get(o, "$.file", "string"))
+    """The file of a location given as an object, as `file:line` or as an object inside a string."""
+    text = F.try_variant_get(v, "$", "string")
+    plain = F.when(~F.ltrim(text).startswith("{"), F.regexp_replace(text, r"(?::\d+){1,2}\s*$", ""))
+    return F.coalesce(F.try_variant_get(v, "$.file", "string"), F.try_variant_get(F.try_parse_json(text), "$.file", "string"), plain)
 
 
 def scan_report_tables(raw: DataFrame, record_id: str = "raw_id", payload: str = "payload") -> dict[str, DataFrame]:
