@@ -44,8 +44,16 @@ def severity_rank(severity: Column, unknown: int | None = 2) -> Column:
     return out.otherwise(F.lit(unknown))
 
 
+def pick(names: list[str], index: Column) -> Column:
+    """The name at a 0-based index; null for a null index.
+
+    The test is needed: with ANSI errors on, element_at of an array without nulls is taken to be never null.
+    """
+    return F.when(index.isNotNull(), F.element_at(F.array(*map(F.lit, names)), (index + 1).cast("int")))
+
+
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), (rank + 1).cast("int"))
+    return pick(SEVERITIES, rank)
 
 
 def sarif_level(rank: Column) -> Column:
@@ -53,7 +61,7 @@ def sarif_level(rank: Column) -> Column:
 
 
 def risk_label(score: Column) -> Column:
-    return F.when(score == 0, "minimal").when(score <= 25, "low").when(score <= 50, "moderate").when(score <= 75, "high").otherwise("critical")
+    return F.when(score == 0, "Clean").when(score <= 25, "Low Risk").when(score <= 50, "Moderate Risk").when(score <= 75, "High Risk").otherwise("Critical Risk")
 
 
 def fingerprint(rule_id: Column, relative_path: Column, snippet: Column) -> Column:

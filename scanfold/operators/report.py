@@ -36,7 +36,7 @@ def risk_score(rank: Column, where: Column | None = None) -> Column:
 def verdict(max_rank: Column) -> Column:
     """From the highest active severity; no finding, or only informative ones, is CLEAN."""
     names = ["CLEAN", "MINOR", "WARNINGS", "HIGH RISK", "DANGEROUS"]
-    return F.coalesce(F.element_at(F.array(*map(F.lit, names)), (max_rank + 1).cast("int")), F.lit("CLEAN"))
+    return F.coalesce(T.pick(names, max_rank), F.lit("CLEAN"))
 
 
 def install_gate(max_rank: Column, allow_high: bool = False, force: bool = False) -> Column:

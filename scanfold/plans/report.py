@@ -147,7 +147,7 @@ ORACLE = {
     + ","
     + _SUMMARY.format(by="report_id")
     + f"""select report_id, n_findings, n_active, risk_score, active_risk_score, {_SEV}[mr + 1] max_severity,
-      case when risk_score = 0 then 'minimal' when risk_score <= 25 then 'low' when risk_score <= 50 then 'moderate' when risk_score <= 75 then 'high' else 'critical' end risk_label,
+      case when risk_score = 0 then 'Clean' when risk_score <= 25 then 'Low Risk' when risk_score <= 50 then 'Moderate Risk' when risk_score <= 75 then 'High Risk' else 'Critical Risk' end risk_label,
       coalesce(['CLEAN','MINOR','WARNINGS','HIGH RISK','DANGEROUS'][ar + 1], 'CLEAN') verdict, case when ar >= 2 then 'blocked' else 'allowed' end gate, case when ar >= 4 then 1 else 0 end exit_code from s""",
     "file_summary": _F + "," + _SUMMARY.format(by="path") + f"select path, n_findings, {_SEV}[mr + 1] max_severity, coalesce(['CLEAN','MINOR','WARNINGS','HIGH RISK','DANGEROUS'][ar + 1], 'CLEAN') verdict from s",
     "component_rollup": _F
