@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions.text import is_printable
-from scanfold.session import written
+from scanfold.session import spread, written
 
 # What an encoded piece looks like, in the order in which an offset is claimed.
 ENCODINGS = {
@@ -131,7 +131,7 @@ def _shown(name: str, m: Column) -> Column:
 
 def decode_layers(df: DataFrame, row_id: str, text: str, depth: int = MAX_DEPTH) -> DataFrame:
     """(row_id, depth, encoding, byte_offset, original, decoded) of all layers; offsets are in the layer's own text."""
-    now = df.select(F.col(row_id), F.col(text).alias("__text"))
+    now = spread(df.select(F.col(row_id), F.col(text).alias("__text")))
     any_piece = "|".join(f"(?:{p})" for p in ENCODINGS.values())
     out = None
     for k in range(depth):

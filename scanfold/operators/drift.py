@@ -40,7 +40,7 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
     r = r.where(F.col("producer").isNotNull() & F.col("release").isNotNull()).dropDuplicates(["record_no", "producer", "release"])
     fields = F.try_variant_get(F.try_parse_json("__r"), "$", "map<string,variant>")
     r = r.select("record_no", "producer", "release", fields.alias("__f")).where(F.col("__f").isNotNull())
-    r = r.select("record_no", "producer", "release", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode("__f").alias("field", "__v"))
+    r = r.select("record_no", "producer", "release", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode_outer("__f").alias("field", "__v"))
     r = r.withColumn("type", json_type(F.col("__v"))).where(F.col("type").isNotNull())
     items = F.when(F.col("type") == "list", F.try_variant_get(F.col("__v"), "$", "array<variant>"))
     out = r.select(

@@ -78,7 +78,8 @@ def children(nodes: DataFrame, of: Column, path: str) -> DataFrame:
 
     Null items take a position and give no node.
     """
-    deep = nodes.select("label", F.posexplode(items(of)).alias("__i", "__v")).where(as_map(F.col("__v")).isNotNull())
+    # the plain form would add a filter on the list, and with it build the list twice
+    deep = nodes.select("label", F.posexplode_outer(items(of)).alias("__i", "__v")).where(as_map(F.col("__v")).isNotNull())
     return deep.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("__v").alias("v"), F.lit(path).alias("path"))
 
 
@@ -115,6 +116,6 @@ def scan_report_tables(raw: DataFrame, record_id: str = "raw_id", payload: str =
     top = records(raw, record_id, payload, ["data", "report"])
     results = children(top, member(F.col("v"), "results"), "report.results")
     findings = children(results, member(F.col("v"), "findings"), "report.results.findings")
-    meta = findings.select("label", F.posexplode(entries(member(F.col("v"), "metadata"))).alias("__i", "e"))
+    meta = findings.select("label", F.posexplode_outer(entries(member(F.col("v"), "metadata"))).alias("__i", "e")).where(F.col("e").isNotNull())
     meta = meta.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
     return {"reports": top, "results": results, "findings": findings, "metadata": meta}

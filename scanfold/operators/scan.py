@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scanfold.functions import text as T
 from scanfold.rules import Pattern, java_pattern
+from scanfold.session import spread
 
 DOC_EXTENSIONS = ["md", "txt", "rst", "adoc"]
 CAP_EXEMPT = ("INJECT-", "AUTH-", "HIDDEN-", "MDCODE-")
@@ -52,9 +53,11 @@ def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, p
     rows = [(k, p.rule_id, p.pattern_no, java_pattern(p.pattern), list(map(java_pattern, p.excludes)), p.severity_rank, p.title) for k, p in enumerate(patterns)]
     table = spark.createDataFrame(rows, "__k int, rule_id string, pattern_no int, __p string, __x array<string>, rule_rank int, title string")
     src = files.select(F.col(row_id).alias("__id"), F.col(path).alias("__path"), F.col(text).alias("__t")).where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= MAX_SCAN_BYTES))
+    src = spread(src)
     low = F.lower("__t") if any(not p.exact for p in patterns) else F.col("__t")
     hit = src.withColumn("__c", _candidates(patterns, F.col("__t"), low, T.extension(F.col("__path")), F.lower(T.file_name(F.col("__path")))))
-    pairs = hit.select("__id", "__path", "__t", F.explode("__c").alias("__k")).join(F.broadcast(table), "__k")  # a row per pattern, at most MAX_RULES rules
+    # explode would add a filter on the list, and with it build the list twice
+    pairs = hit.select("__id", "__path", "__t", F.explode_outer("__c").alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # a row per pattern, at most MAX_RULES rules
     found = pairs.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0)
     gaps = F.split("__t", F.col("__p"), -1)
     # lengths of gap 0, match 0, gap 1, match 1, ...: their running sum is where each match begins

@@ -103,7 +103,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     findings = flatten.scan_report_tables(table(spark, d, "raw_reports"))["findings"]
     meta = F.transform(flatten.entries(flatten.member(F.col("v"), "metadata")), lambda e: e["key"])
     keys = F.when(F.size(meta) > 0, meta).otherwise(F.array(F.lit("")))
-    rows = findings.select("label", F.explode(keys).alias("meta_key"), flatten.location_line(flatten.member(F.col("v"), "location")).alias("line_no"))
+    rows = findings.select("label", F.explode_outer(keys).alias("meta_key"), flatten.location_line(flatten.member(F.col("v"), "location")).alias("line_no"))
     at = lambda i: flatten.position(F.col("label"), i)
     return rows.select(F.split("label", r"\.")[0].cast("long").alias("raw_id"), at(1).alias("result_pos"), at(2).alias("finding_pos"), "line_no", "meta_key")
 

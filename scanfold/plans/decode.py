@@ -34,7 +34,7 @@ def decode_three_layers(spark: SparkSession, d: str) -> DataFrame:
     """Pieces wrapped in two more encodings, taken apart again."""
     p = _pieces(spark, d).where(F.length("original") > 0)
     inner = F.concat(F.lit("run('"), "original", F.lit("')"))
-    outer = F.concat(F.lit("eval(atob('"), F.base64(F.encode(inner, "utf-8")), F.lit("'))"))
+    outer = F.concat(F.lit("eval(atob('"), F.regexp_replace(F.base64(F.encode(inner, "utf-8")), r"\s", ""), F.lit("'))"))
     found = decode.decode_layers(p.select("decoded_id", outer.alias("text")), "decoded_id", "text")
     return found.groupBy("depth", "encoding").agg(F.count("*").alias("n"), F.sum("byte_offset").alias("offsets"))
 
@@ -42,7 +42,8 @@ def decode_three_layers(spark: SparkSession, d: str) -> DataFrame:
 def decoded_findings(spark: SparkSession, d: str) -> DataFrame:
     """Hidden payloads that rules match: one finding per decoded text, with the titles of the rules."""
     patterns, _ = R.compile_rules(table(spark, d, "rules"))
-    texts = _pieces(spark, d).select("decoded_id", decode.by_name(F.col("encoding"), F.col("original")).alias("text"), F.lit("decoded").alias("path"))
+    # the explode of one value keeps the decoding from being repeated for every pattern
+    texts = _pieces(spark, d).select("decoded_id", F.explode(F.array(decode.by_name(F.col("encoding"), F.col("original")))).alias("text"), F.lit("decoded").alias("path"))
     anywhere = [R.Pattern(**{**p.__dict__, "extensions": (), "names": ()}) for p in patterns]
     m = scan.matches(texts, anywhere, "decoded_id", "text", "path")
     titles = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "pattern_no", "match_no", "title"))), lambda x: x["title"])
@@ -67,7 +68,7 @@ _D = r"""case encoding
   when 'base64' then case when length({o}) % 4 = 0 then try(decode(from_base64({o}))) end
   when 'hex' then case when length({o}) % 2 = 0 then try(decode(unhex({o}))) end
   when 'unicode' then nullif(array_to_string(list_transform(regexp_extract_all({o}, '\\u([0-9a-fA-F]{{4}})', 1), lambda x: case when upper(x) between 'D800' and 'DFFF' then '' else chr(case when upper(x) between 'D800' and 'DFFF' then 32 else ('0x' || x)::int end) end), ''), '')
-  when 'charcode' then nullif(array_to_string(list_transform(list_filter(string_split(regexp_extract({o}, '\(([^)]*)\)', 1), ','), lambda x: try_cast(trim(x) as int) is not null), lambda x: chr(trim(x)::int)), ''), '')
+  when 'charcode' then nullif(array_to_string(list_transform(list_filter(string_split(regexp_extract({o}, '\(([^)]*)\)', 1), ','), lambda x: try_cast(trim(x) as int) is not null), lambda x: case when trim(x)::int between 55296 and 57343 or trim(x)::int > 1114111 then '' else chr(case when trim(x)::int between 55296 and 57343 or trim(x)::int > 1114111 then 32 else trim(x)::int end) end), ''), '')
   when 'url-encoded' then try(url_decode({o})) end"""
 ORACLE = {
     "decode_pieces": _P + "select decoded_id, " + _D.format(o="original") + " text from p",

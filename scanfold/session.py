@@ -57,3 +57,16 @@ def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     beyond the bound is joined by whatever shuffle join the planner picks.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """``df`` in enough partitions for all cores, where costly work per row follows.
+
+    Only a plain scan in fewer partitions than there are cores is dealt out anew: such an input is small for the
+    cluster, so the shuffle is too. Anything larger, and any plan with a shuffle of its own, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    return df.repartition(cores * factor) if plan.execute().getNumPartitions() < cores else df
