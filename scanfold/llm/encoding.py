@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from scanfold.llm import bpe
+from scanfold.session import spread
 
 MAX_VOCABULARY = 64 << 20  # bytes of a vocabulary file; a larger one isn't broadcast
 
@@ -45,4 +46,4 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
 
     src = df.select(df[id_col].alias("__id"), df[text_col].alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
-    return src.mapInArrow(run, f"__id {kind}, ids array<int>").withColumnRenamed("__id", id_col)
+    return spread(src).mapInArrow(run, f"__id {kind}, ids array<int>").withColumnRenamed("__id", id_col)

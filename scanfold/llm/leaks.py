@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanfold.session import spread
+
 WINDOW = 7
 RADIUS = 3
 BLOCKS = 4
@@ -260,7 +262,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     itype = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ikind]
-    src = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where(F.length("__t") >= MIN_PASSAGE)
+    src = spread(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where(F.length("__t") >= MIN_PASSAGE))
 
     def found(block: Items) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast((block.ids, block.texts))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.llm import prose
-from scanfold.session import written
+from scanfold.session import spread, written
 
 MIN_SENTENCES = 3
 FAMILIAR_WORDS = 200
@@ -48,7 +48,7 @@ def profile(df: DataFrame, doc_id: str, text: str, min_sentences: int = MIN_SENT
 
     src = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where(F.col("__t").rlike(r"[A-Za-z]"))
     kind = src.schema["__id"].dataType.simpleString()
-    out = src.mapInArrow(run, f"__id {kind}, sentences int, words int, mean_log_length double, vocabulary array<string>, counts array<int>")
+    out = spread(src).mapInArrow(run, f"__id {kind}, sentences int, words int, mean_log_length double, vocabulary array<string>, counts array<int>")
     return out.withColumnRenamed("__id", doc_id)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanfold.llm import bpe, secrets
 from scanfold.llm.encoding import broadcast_vocabulary
+from scanfold.session import spread
 
 
 def suspect(text: Column, file: Column) -> Column:
@@ -28,7 +29,7 @@ def _scan(df: DataFrame, row_id: str, text: str, file: str | None, vocabulary: s
     where = F.col(file) if file else F.lit(None).cast("string")
     src = df.select(F.col(row_id).alias("__id"), F.col(text).alias("__t"), where.alias("__f"))
     kind = src.schema["__id"].dataType.simpleString()
-    return src.where(suspect(F.col("__t"), F.col("__f"))).mapInArrow(run, schema.format(kind=kind))
+    return spread(src.where(suspect(F.col("__t"), F.col("__f")))).mapInArrow(run, schema.format(kind=kind))
 
 
 def find_credentials(df: DataFrame, row_id: str, text: str, file: str | None = None, vocabulary: str | None = None) -> DataFrame:
