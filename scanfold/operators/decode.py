@@ -105,37 +105,39 @@ def _length(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, x: a + F.octet_length(x))
 
 
+ANY_PIECE = "|".join(f"(?:{p})" for p in ENCODINGS.values())
+
+
 def spliced(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, text) with every decodable piece replaced by what it stands for, encodings in their order.
+    """(row_id, text) with every decodable piece replaced by what it stands for.
 
-    Each encoding is a step of its own: the explode of one value keeps the planner from writing the steps into
-    one expression, which would repeat the earlier ones many times.
+    All pieces of the text are replaced at once: what comes out of one is left for the next layer. The explodes of
+    one value keep the planner from repeating the steps inside each other.
     """
-    df = df.select(row_id, F.col(text))
-    for name, pattern in ENCODINGS.items():
-        cut = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-        df = df.select(row_id, F.explode(F.array(F.struct(F.col(text).alias("t"), F.when(F.col(text).rlike(pattern), cut).alias("c")))).alias("x"))
-        pieces = F.transform("x.c.m", lambda m: _shown(name, m))  # noqa: B023
-        joined = F.array_join(F.zip_with("x.c.g", pieces, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        df = df.select(row_id, F.explode(F.array(F.when(F.col("x.c").isNotNull(), joined).otherwise(F.col("x.t")))).alias(text))
-    return df
+    cut = F.struct(F.split(text, ANY_PIECE, -1).alias("g"), F.regexp_extract_all(text, F.lit(ANY_PIECE), F.lit(0)).alias("m"))
+    df = df.select(row_id, F.explode(F.array(cut)).alias("c"))
+    joined = F.zip_with("c.g", F.transform("c.m", _shown), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    return df.select(row_id, F.explode(F.array(F.array_join(joined, ""))).alias(text))
 
 
-def _shown(name: str, m: Column) -> Column:
-    quoted = name in QUOTED
-    d = decode(name, F.substr(m, F.lit(2), F.length(m) - 2) if quoted else m)
-    ok = is_printable(d) if name in ("base64", "hex", "url-encoded") else d.isNotNull()
-    plain = F.concat(F.left(m, F.lit(1)), d, F.right(m, F.lit(1))) if quoted else d
-    return F.when(F.coalesce(ok, F.lit(False)), plain).otherwise(m)
+def _shown(m: Column) -> Column:
+    """A piece decoded by the first encoding that can; as it is, if none can."""
+    out = []
+    for name, pattern in ENCODINGS.items():
+        quoted = name in QUOTED
+        d = decode(name, F.substr(m, F.lit(2), F.length(m) - 2) if quoted else m)
+        ok = is_printable(d) if name in ("base64", "hex", "url-encoded") else d.isNotNull()
+        plain = F.concat(F.left(m, F.lit(1)), d, F.right(m, F.lit(1))) if quoted else d
+        out.append(F.when(m.rlike(f"^(?:{pattern})$") & F.coalesce(ok, F.lit(False)), plain))
+    return F.coalesce(*out, m)
 
 
 def decode_layers(df: DataFrame, row_id: str, text: str, depth: int = MAX_DEPTH) -> DataFrame:
     """(row_id, depth, encoding, byte_offset, original, decoded) of all layers; offsets are in the layer's own text."""
     now = spread(df.select(F.col(row_id), F.col(text).alias("__text")))
-    any_piece = "|".join(f"(?:{p})" for p in ENCODINGS.values())
     out = None
     for k in range(depth):
-        now = now.where(F.col("__text").rlike(any_piece))
+        now = now.where(F.col("__text").rlike(ANY_PIECE))
         part = layer(now, row_id, "__text").withColumn("depth", F.lit(k))
         out = part if out is None else out.unionByName(part)
         if k + 1 < depth:
