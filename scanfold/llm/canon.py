@@ -85,7 +85,8 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = build_table()
-        marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(lambda c: unicodedata.category(c)[0] == "M"))
+        is_mark = lambda c: unicodedata.category(c)[0] == "M" or unicodedata.category(self.table.get(c, c)[:1] or "a")[0] == "M"
+        marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(is_mark))
         hidden = "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(is_invisible))
         tail = f"[{marks}{hidden}]"
         # the longest match: marks and hidden characters belong to the character before them
@@ -98,7 +99,10 @@ class Transducer:
         if got is None:
             if len(self._forms) >= self.MEMORY:
                 self._forms.clear()
-            got = self._forms[c] = self._show(c)
+            got, last = self._show(c), c
+            while got != last:  # marks that compose anew may show something else again
+                got, last = self._cluster.sub(lambda x: self._show(x.group()), got), got
+            self._forms[c] = got
         return got
 
     def _show(self, c: str) -> str:

@@ -10,6 +10,7 @@ field of a colon list) does. Found spans are exact, so masking changes nothing e
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
@@ -80,23 +81,24 @@ SUSPECT_FILE = r"(?i)(?:^|[/\\])(?:id_(?:rsa|dsa|ecdsa|ed25519)|[^/\\]*\.(?:key|
 KEY_LINE = r"[0-9A-Za-z+/=]"
 BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+KEY_CHARS = 40_000  # a private key isn't longer
 BREAK = r"(?:\\r)?\\n|\r?\n"
 
 _token = re.compile(r"(?<![0-9A-Za-z_/+.-])(?:" + "|".join(SERVICE_TOKENS) + r")(?![0-9A-Za-z_])")
 _pair = re.compile(
-    r"""(?P<name>[A-Za-z_][\wáéíóúñçäöüß.$-]*)(?P<q>\\?["'`]?\]?)\s*(?P<op>:=|=>|=(?!=)|:(?!:)|,(?=\s*["'`]))\s*(?P<pre>[rbfu]?)(?:(?P<v1>\\?["'`])(?P<s>[^"'`\\]*(?:\\(?!n)[^"'`\\]*)*)(?P<end>\\?["'`])?|(?P<b>[^\s"'`,;<>(){}\[\]&|]+(?:[(\[][^\s]*)?))"""
+    r"""(?<![\w.$-])(?P<name>[A-Za-z_][\w.$-]{0,120})(?P<q>\\?["'`]?\]?)\s*(?P<op>:=|=>|=(?!=)|:(?!:)|,(?=\s*["'`]))\s*(?P<pre>[rbfu]?)(?:(?P<v1>\\?["'`])(?P<s>[^"'`\\]*(?:\\(?!n)[^"'`\\]*)*)(?P<end>\\?["'`])?|(?P<b>[^\s"'`,;<>(){}\[\]&|]+(?:[(\[][^\s]*)?))"""
 )
 _xml = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)(?:\s[^<>]*)?>(?P<v>[^<>\s]+)</(?P=name)>")
-_url = re.compile(r"(?P<scheme>[a-z][a-z0-9+.-]*)://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>`]+(?:/[^\s/@\"'<>`]*)?)@(?=[\w\[.-])", re.I)
+_url = re.compile(r"(?<![a-z0-9+.-])(?P<scheme>[a-z][a-z0-9+.-]{0,30})://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>`]+(?:/[^\s/@\"'<>`]*)?)@(?=[\w\[.-])", re.I)
 _query = re.compile(r"[?&;](?P<name>[A-Za-z_][\w.-]*)=(?P<v>[^&\s\"'<>`#;)]+)")
 _header = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:,=]\s*[\"'`]?\s*(?:(?P<scheme>basic|bearer|token|apikey|digest|negotiate)\s+)?(?P<v>[^\s\"'`,}\\)]+)")
 _key_header = re.compile(r"(?i)\bx-(?:[a-z]+-)*(?:key|token|secret|auth|password)[\"']?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,}\\)]+)")
 _bearer = re.compile(r"(?i)\bbearer\s+(?P<v>[0-9A-Za-z._~+/-]{16,}=*)")
 _commands = [
-    re.compile(r"\bcurl\b[^|;]*?\s(?:-u|--user|--proxy-user)[ =]?[\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"']+)"),
-    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^|;]*?\s-p(?P<v>[^\s\"']+|(?<=-p)[\"'][^\"']+)"),
+    re.compile(r"\bcurl\b[^|;]{0,400}?\s(?:-u|--user|--proxy-user)[ =]?[\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"']+)"),
+    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^|;]{0,400}?\s-p(?P<v>[^\s\"']+|(?<=-p)[\"'][^\"']+)"),
     re.compile(r"\bsshpass\s+-p\s*[\"']?(?P<v>[^\s\"']+)"),
-    re.compile(r"\b(?:docker|podman|helm|az|oc|kubectl|npm|psql|mongo|mongosh|redis-cli|ldapsearch)\b[^|;]*?\s(?:--password|-p|-a|-w)[ =][\"']?(?P<v>[^\s\"'-][^\s\"']*)"),
+    re.compile(r"\b(?:docker|podman|helm|az|oc|kubectl|npm|psql|mongo|mongosh|redis-cli|ldapsearch)\b[^|;]{0,400}?\s(?:--password|-p|-a|-w)[ =][\"']?(?P<v>[^\s\"'-][^\s\"']*)"),
     re.compile(r"\becho\s+(?:-n\s+)?[\"']?(?P<v>[^\s\"'|]+)[\"']?\s*\|\s*(?:sudo\s+-S|docker\s+login|passwd|chpasswd|su\b)"),
     re.compile(r"--(?:pass(?:word|wd|phrase)?|pwd|token|secret|api-?key|access-?key|secret-?key|auth-?token)[ =][\"']?(?P<v>[^\s\"']+)"),
     re.compile(r"(?i)\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<v>\S+)"),
@@ -165,8 +167,9 @@ def find(text: str, count: Callable[[str], int], file: str | None = None) -> lis
 
     def add(a: int, b: int, rule: str) -> None:
         b = min(b, hi)
-        if a < b and all(b <= x or a >= y for x, y, _ in found):
-            found.append((a, b, rule))
+        k = bisect.bisect_left(found, (a,))
+        if a < b and (k == len(found) or b <= found[k][0]) and (k == 0 or found[k - 1][1] <= a):
+            found.insert(k, (a, b, rule))
 
     file = (file or "").replace("\\", "/")
     _private_keys(text, lo, hi, add)
@@ -191,7 +194,7 @@ def find(text: str, count: Callable[[str], int], file: str | None = None) -> lis
             v = m.group(g)
             if is_secret_name(n.group("name")) and not is_placeholder(v):
                 add(a + m.start(g), a + m.end(g), "environment")
-    return sorted(found)
+    return found
 
 
 def _lines(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -214,8 +217,8 @@ def _private_keys(text: str, lo: int, hi: int, add: Callable[[int, int, str], No
         add(m.start(), stop, "private key")
         at = stop
     if (e := END.search(text, lo, hi)) and not BEGIN.search(text, lo, e.start()):  # its beginning isn't shown
-        head = re.search(r"(?:" + KEY_LINE + r"{1,76}(?:\\n|\n))*$", text[lo : e.start()])
-        add(lo + head.start(), e.end(), "private key")
+        head = re.search(r"(?:" + KEY_LINE + r"{1,76}(?:\\n|\n))*$", text[max(lo, e.start() - KEY_CHARS) : e.start()])
+        add(max(lo, e.start() - KEY_CHARS) + head.start(), e.end(), "private key")
 
 
 def _line(line: str, add: Callable[[int, int, str], None], count: Callable[[str], int], field_file: bool) -> None:
