@@ -94,12 +94,16 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, window: str = "1 hour
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there, and read its last result."""
+    """Run a stream over what is there, and read its last result.
+
+    In update mode one batch is run: state that expires by processing time would ask for another batch for ever.
+    """
     spark = stream.sparkSession
     path = work_dir(spark, name)
 
     def batch(df: DataFrame, no: int) -> None:
         df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", work_dir(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", work_dir(spark, f"{name}-state")).foreachBatch(batch)
+    (w.trigger(once=True) if mode == "update" else w.trigger(availableNow=True)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
