@@ -83,7 +83,7 @@ def normal_path(path: Column) -> Column:
         F.when(p.isin(".", ""), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
     )
     folded = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(folded, "/"))
+    return F.concat(F.when(path.rlike(r"^[/\\]"), "/").otherwise(""), F.array_join(folded, "/"))
 
 
 def entropy(text: Column) -> Column:

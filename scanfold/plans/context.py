@@ -194,4 +194,8 @@ ORACLE = {
       from r qualify row_number() over (partition by r order by detected_at, finding_id) = 1""",
     "alerts_windowed": "select date_trunc('hour', ts) \"start\", event_type kind, count(*) n from events group by all",
     "message_alerts_ttl": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1",
+    "trusted_domains": _F
+    + r""", u as (select finding_id, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 1)) host, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 2)) rest,
+        generate_subscripts(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 1), 1) n from f where finding_id is not null)
+      select finding_id, arg_min(host || ' (test host)', n) trusted_domain from u where regexp_matches(host, '^(cache|frame|window|policy)\.(amber|ember|slate)[1-9][0-9]?\.(test|example)$') and starts_with(rest, '/') group by finding_id""",
 }

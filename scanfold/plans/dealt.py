@@ -148,6 +148,14 @@ foot as (select pack, release_no, field, any_value(typ) typ from t group by all)
 pos as (select pack, release_no, dense_rank() over (partition by pack order by release_no) pos from (select distinct pack, release_no from foot)),
 p as (select * from foot join pos using (pack, release_no))
 """
+_P5 = r"""
+with one as (select raw_id, any_value(payload) j from raw_reports where json_valid(payload) group by raw_id),
+u as (select raw_id, case when json_type(j, '$.data.report') = 'OBJECT' then json_extract(j, '$.data.report') when json_type(j, '$.report') = 'OBJECT' then json_extract(j, '$.report') else j end j from one),
+rs as (select raw_id, case json_type(j, '$.results') when 'ARRAY' then json_extract(j, '$.results') when 'OBJECT' then json_array(json_extract(j, '$.results')) end r from u),
+r as (select raw_id, i - 1 result_pos, json_extract(r, '$[' || (i - 1) || ']') v from rs, range(1, json_array_length(r)::bigint + 1) t(i)),
+fs as (select raw_id, result_pos, case when json_type(v, '$.findings') = 'VARCHAR' then json(json_extract_string(v, '$.findings')) else json_extract(v, '$.findings') end f from r),
+fl as (select raw_id, result_pos, case json_type(f) when 'ARRAY' then f when 'OBJECT' then json_array(f) end f from fs),
+f as (select raw_id, result_pos, i - 1 finding_pos, json_extract(f, '$[' || (i - 1) || ']') v from fl, range(1, json_array_length(f)::bigint + 1) t(i))"""
 ORACLE = {
     "p1_found": f"""
 with f as (select distinct finding_id, {_RULE.format(c="rule_id")} rule from findings where finding_id is not null),
@@ -190,18 +198,22 @@ union all select pack, release_no, nf, 'added', '' from starts s where not exist
     + """,
 i as (select *, pos - row_number() over (partition by pack, field, typ order by pos) island from p)
 select pack, field, typ "type", min(release_no) first_release, max(release_no) last_release, count(*) releases from i group by pack, field, typ, island""",
-    "p5_found": r"""
-with one as (select raw_id, any_value(payload) j from raw_reports where json_valid(payload) group by raw_id),
-u as (select raw_id, case when json_type(j, '$.data.report') = 'OBJECT' then json_extract(j, '$.data.report') when json_type(j, '$.report') = 'OBJECT' then json_extract(j, '$.report') else j end j from one),
-rs as (select raw_id, case json_type(j, '$.results') when 'ARRAY' then json_extract(j, '$.results') when 'OBJECT' then json_array(json_extract(j, '$.results')) end r from u),
-r as (select raw_id, i - 1 result_pos, json_extract(r, '$[' || (i - 1) || ']') v from rs, range(1, json_array_length(r)::bigint + 1) t(i)),
-fs as (select raw_id, result_pos, case when json_type(v, '$.findings') = 'VARCHAR' then json(json_extract_string(v, '$.findings')) else json_extract(v, '$.findings') end f from r),
-fl as (select raw_id, result_pos, case json_type(f) when 'ARRAY' then f when 'OBJECT' then json_array(f) end f from fs),
-f as (select raw_id, result_pos, i - 1 finding_pos, json_extract(f, '$[' || (i - 1) || ']') v from fl, range(1, json_array_length(f)::bigint + 1) t(i)),
+    "p5_found": _P5
+    + r""",
 m as (select raw_id, result_pos, finding_pos,
              coalesce(try_cast(case json_type(v, '$.location') when 'OBJECT' then json_extract_string(v, '$.location.start_line') else regexp_extract(json_extract_string(v, '$.location'), ':(\d+)$', 1) end as int), 0) line_no,
              case when json_type(v, '$.metadata') = 'VARCHAR' then json(json_extract_string(v, '$.metadata')) else json_extract(v, '$.metadata') end m
       from f where json_type(v) = 'OBJECT'),
 k as (select *, case json_type(m) when 'OBJECT' then json_keys(m) when 'ARRAY' then json_extract_string(m, '$[*].key') else [] end ks from m)
 select raw_id, result_pos::int result_pos, finding_pos::int finding_pos, line_no, unnest(case when len(ks) = 0 then [''] else ks end) meta_key from k""",
+    "p5_results": _P5
+    + r"""
+select raw_id || '.' || result_pos as "label", raw_id::varchar parent, json_extract_string(v, '$.path') path, json_extract_string(v, '$.content_hash') content_hash, json_extract_string(v, '$.install_scope') install_scope
+from r where json_type(v) = 'OBJECT'""",
+    "p5_findings": _P5
+    + r"""
+select raw_id || '.' || result_pos || '.' || finding_pos as "label", raw_id || '.' || result_pos parent, json_extract_string(v, '$.rule_id') rule_id, json_extract_string(v, '$.severity') severity, json_extract_string(v, '$.category') category,
+  case json_type(v, '$.location') when 'OBJECT' then json_extract_string(v, '$.location.file') else regexp_replace(json_extract_string(v, '$.location'), '(?::\d+){1,2}\s*$', '') end file,
+  coalesce(try_cast(case json_type(v, '$.location') when 'OBJECT' then json_extract_string(v, '$.location.start_line') else regexp_extract(json_extract_string(v, '$.location'), ':(\d+)$', 1) end as int), 0) start_line
+from f where json_type(v) = 'OBJECT'""",
 }

@@ -74,4 +74,9 @@ ORACLE = {
     "decode_pieces": _P + "select decoded_id, " + _D.format(o="original") + " text from p",
     "entropy_strings": "with recursive " + _P[5:] + ", c as (select decoded_id, unnest(regexp_extract_all(hex(encode(original)), '..')) b from p), n as (select decoded_id, b, count(*) k from c group by all), "
     "s as (select decoded_id, sum(k) t from n group by 1) select p.decoded_id, round(coalesce((select -sum(k / t * log2(k / t)) from n join s using (decoded_id) where n.decoded_id = p.decoded_id), 0), 6) entropy from p",
+    "printable_texts": _P
+    + ", t as (select encoding, "
+    + _D.format(o="original")
+    + r""" t from p)
+      select encoding, count(*) n, count(t) n_decoded, count(*) filter (length(t) > 0 and (length(t) - length(regexp_replace(t, '[\p{L}\p{N}\s!-/:-@\[-`{-~]', '', 'g'))) / length(t) > 0.7) n_printable from t group by encoding""",
 }

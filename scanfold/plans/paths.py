@@ -112,4 +112,10 @@ ORACLE = {
     "component_detect": _P + _COMP + "select root, kind, name, manifest from c",
     "component_assign": _P + _COMP + "select path, max_by(root, length(root)) component_root from p left join c on starts_with(path, root || '/') group by path",
     "component_kinds": _P + _COMP + "select kind, count(*) n from c group by kind",
+    # parts are folded one by one: `..` takes away the part before it
+    "normal_paths": r"""with recursive f as (select distinct location.file file from findings where location.file is not null),
+      p as (select file, list_filter(string_split(replace(file, '\', '/'), '/'), lambda x: x not in ('', '.')) parts from f),
+      s as (select file, parts, 1 k, []::varchar[] acc from p
+            union all select file, parts, k + 1, case when parts[k] = '..' then acc[1:greatest(len(acc) - 1, 0)] else list_append(acc, parts[k]) end from s where k <= len(parts))
+      select file, case when starts_with(replace(file, '\', '/'), '/') then '/' else '' end || array_to_string(acc, '/') normal from s where k = len(parts) + 1""",
 }
