@@ -34,10 +34,11 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
 
     ``rid`` is the record's own key, the value of its field ``key``. Values are JSON text; a list
     of one value has that value's text in ``same_as``, any other value its own. Redelivered records
-    (same ``record_no``) count once. Records that are null, blank, cut off or no object give no row.
+    (same ``record_no``) count once, records without a number each. Records that are null, blank, cut off or no object give no row.
     """
     r = records.select(F.col(record_no).alias("record_no"), F.col(producer).alias("producer"), F.col(release).alias("release"), F.col(record).alias("__r"))
-    r = r.where(F.col("producer").isNotNull() & F.col("release").isNotNull()).dropDuplicates(["record_no", "producer", "release"])
+    r = r.where(F.col("producer").isNotNull() & F.col("release").isNotNull())
+    r = r.where(F.col("record_no").isNotNull()).dropDuplicates(["record_no", "producer", "release"]).unionByName(r.where(F.col("record_no").isNull()))
     fields = F.try_variant_get(F.try_parse_json("__r"), "$", "map<string,variant>")
     r = r.select("record_no", "producer", "release", fields.alias("__f")).where(F.col("__f").isNotNull())
     r = r.select("record_no", "producer", "release", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode_outer("__f").alias("field", "__v"))

@@ -84,7 +84,7 @@ def children(nodes: DataFrame, of: Column, path: str) -> DataFrame:
 
 
 def records(df: DataFrame, record_id: str, payload: str, wrappers: list[str]) -> DataFrame:
-    """The record nodes: label is the id. Null, blank and cut off payloads give none; redelivered ids one."""
+    """The record nodes: label is the id. Null ids, and null, blank and cut off payloads give none; redelivered ids one."""
     one = df.select(F.col(record_id).cast("string").alias("label"), F.col(payload).alias("__p")).where(F.col("label").isNotNull() & F.col("__p").isNotNull())
     # an explode of one value keeps the planner from repeating the parse in every later expression
     parsed = one.dropDuplicates(["label"]).select("label", F.explode(F.array(F.try_parse_json("__p"))).alias("v")).where(F.col("v").isNotNull())
