@@ -38,7 +38,7 @@ class Engine:
             layers = decode.decode_layers(files, "path", "text", decode_depth)
             hidden = layers.select(F.struct("path", "depth", "byte_offset").alias("key"), "decoded", "path").withColumn("key", F.to_json("key"))
             hit = scan.matches(hidden, self.patterns, "key", "decoded", "path")
-            per = hit.groupBy("key", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "pattern_no", "match_no", "title"))), lambda x: x["title"]), ", ").alias("description"), F.first("matched").alias("snippet"))
+            per = hit.groupBy("key", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "pattern_no", "match_no", "title"))), lambda x: x["title"]), ", ").alias("description"), F.min("matched").alias("snippet"))
             out = out.unionByName(self._plain(per, "OBFUSC-PAYLOAD", "Hidden payload", 4))
         strings = decode.high_entropy(files, "path", "text", self.config.entropy_threshold)
         out = out.unionByName(self._plain(strings.select("path", F.lit(None).cast("string").alias("description"), T.truncate(F.col("string"), 80).alias("snippet")), "ENTROPY-001", "High entropy string", 1))
