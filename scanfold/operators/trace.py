@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanfold.functions import text as T
 from scanfold.operators.paths import INSTRUCTIONS
+from scanfold.session import spread
 
 # How a text refers to a file; the first group that matched is the path.
 VERB = r"(?i)\b(?:read|execute|run|follow\s+(?:the\s+)?instructions?\s+in|source|include)\s+(?:`([^`]+)`|\"([^\"]+)\"|'([^']+)'|(\S+\.\w{1,5}))"
@@ -26,7 +27,8 @@ def references(files: DataFrame, path: str, text: str, root: str) -> DataFrame:
     t = F.col("__t")
     verbs = F.array_compact(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(VERB), F.lit(k)) for k in (1, 2, 3, 4)])))
     found = F.array_distinct(F.filter(F.concat(verbs, F.regexp_extract_all(t, F.lit(LINK), F.lit(1)), F.regexp_extract_all(t, F.lit(TICK), F.lit(1))), lambda x: x != ""))
-    src = files.select(F.col(path).alias("src"), F.col(text).alias("__t"), F.regexp_replace(root, r"/+$", "").alias("__root")).where(t.rlike(f"{VERB}|{LINK}|{TICK}"))
+    src = spread(files.select(F.col(path).alias("src"), F.col(text).alias("__t"), F.regexp_replace(root, r"/+$", "").alias("__root")))
+    src = src.where(t.rlike(f"{VERB}|{LINK}|{TICK}"))
     r = src.select("src", "__root", F.explode_outer(found).alias("ref")).where(F.col("ref").isNotNull() & ~F.col("ref").rlike(r"^(?:https?://|#)"))
     near = T.normal_path(F.concat_ws("/", T.directory(F.col("src")), "ref"))
     far = F.when(~F.col("ref").rlike(r"^\.\.?/"), T.normal_path(F.concat_ws("/", "__root", "ref")))
