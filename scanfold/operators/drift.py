@@ -4,16 +4,19 @@ Every file is one release of one producer. Its footer is the list of top-level f
 with their JSON types, taken from all its records. Exploded, the footers of a producer's
 releases are a table of (producer, release, field, type) presences. A lag over releases
 finds where an island of presence starts and where it ended; a start and an ending of
-two fields in one release are a rename if the records agree in value. Renames over all
-producers form the alias table, and that generates the casts of one consistent table.
+two fields in one release are a rename if the records agree in value. A producer's renames
+say which of its names are one field, unless a record holds two of them at once; the types
+met in a column say how it is cast in the one consistent table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanfold.session import written
+from scanfold.session import small, written
 
 
 def json_type(v: Column) -> Column:
@@ -30,9 +33,9 @@ def json_type(v: Column) -> Column:
 
 
 def record_fields(records: DataFrame, record_no: str, producer: str, release: str, record: str, key: str) -> DataFrame:
-    """One row per record and non-null top-level field: (producer, release, record_no, rid, field, type, value).
+    """One row per record and non-null top-level field: (producer, release, record_no, rec, rid, field, type, value).
 
-    ``rid`` is the record's own key, the value of its field ``key``. Values are JSON text; a list
+    ``rec`` is a key made up for the record, with or without a number, ``rid`` is the record's own key, the value of its field ``key``. Values are JSON text; a list
     of one value has that value's text in ``same_as``, any other value its own. Redelivered records
     (same ``record_no``) count once, records without a number each. Records that are null, blank, cut off or no object give no row.
     """
@@ -41,13 +44,15 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
     r = r.where(F.col("record_no").isNotNull()).dropDuplicates(["record_no", "producer", "release"]).unionByName(r.where(F.col("record_no").isNull()))
     fields = F.try_variant_get(F.try_parse_json("__r"), "$", "map<string,variant>")
     r = r.select("record_no", "producer", "release", fields.alias("__f")).where(F.col("__f").isNotNull())
-    r = r.select("record_no", "producer", "release", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode_outer("__f").alias("field", "__v"))
+    r = r.withColumn("rec", F.monotonically_increasing_id())  # fixed by the write below
+    r = r.select("record_no", "producer", "release", "rec", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode_outer("__f").alias("field", "__v"))
     r = r.withColumn("type", json_type(F.col("__v"))).where(F.col("type").isNotNull())
     items = F.when(F.col("type") == "list", F.try_variant_get(F.col("__v"), "$", "array<variant>"))
     out = r.select(
         "record_no",
         "producer",
         "release",
+        "rec",
         "rid",
         "field",
         "type",
@@ -131,45 +136,89 @@ def changes(fields: DataFrame, foot: DataFrame | None = None) -> DataFrame:
     return out.unionByName(rest.select("producer", F.col("at").alias("release"), "field", name.alias("change"), none.alias("new_field")))
 
 
-def alias_table(found: DataFrame, foot: DataFrame, max_names: int = 10_000) -> dict[str, str]:
-    """Field name -> the name it has in the consistent table.
+def _groups(names: Iterable[str], links: Iterable[tuple[str, str]], apart: set[tuple[str, str]]) -> list[list[str]]:
+    """The names in groups, each link in turn joining two of them unless a pair of ``apart`` would meet."""
+    group = {n: {n} for n in names}
+    for a, b in links:
+        x, y = group[a], group[b]
+        if x is not y and not any((i, j) in apart or (j, i) in apart for i in x for j in y):
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    return [sorted(g) for g in {id(g): g for g in group.values()}.values()]
 
-    Names linked by a rename in any producer are one field, called by the one of them that most
-    releases have. Works on names only: there are as many as the schemas have distinct fields,
-    and more than ``max_names`` are refused.
-    """
+
+def _uses(foot: DataFrame, max_names: int) -> dict[str, int]:
     used = {r[0]: r[1] for r in foot.groupBy("field").agg(F.count("*")).limit(max_names + 1).collect()}
     if len(used) > max_names:
         raise ValueError(f"more than {max_names} distinct field names")
-    links = found.where(F.col("change") == "renamed").select("field", "new_field").distinct().collect()
-    group = {n: n for n in used}
+    return used
 
-    def root(n: str) -> str:
-        while group[n] != n:
-            n = group[n]
-        return n
 
-    for a, b in links:
-        group[root(a)] = root(b)
-    members: dict[str, list[str]] = {}
-    for n in used:
-        members.setdefault(root(n), []).append(n)
-    return {n: max(sorted(m), key=lambda x: used[x]) for m in members.values() for n in m}
+def alias_table(found: DataFrame, foot: DataFrame, max_names: int = 10_000) -> dict[str, str]:
+    """Field name -> the name of its group, names linked by a rename in any producer being one group.
+
+    A group is called by the one of its names that most releases have. Works on names only: there are
+    as many as the schemas have distinct fields, and more than ``max_names`` are refused. A record may
+    hold two names of a group; ``producer_aliases`` keeps these apart.
+    """
+    used = _uses(foot, max_names)
+    links = found.where(F.col("change") == "renamed").select("field", "new_field").distinct().collect()
+    return {n: max(m, key=lambda x: used[x]) for m in _groups(used, links, set()) for n in m}
+
 
+def producer_aliases(fields: DataFrame, found: DataFrame, foot: DataFrame, max_names: int = 10_000) -> DataFrame:
+    """(producer, field, column): the column of each producer's field in the consistent table.
 
-def consistent_table(fields: DataFrame, aliases: dict[str, str], casts: dict[str, str]) -> DataFrame:
-    """One row per record with one column per field of the alias table.
+    A group of ``alias_table`` of which no record anywhere holds two names is one column. Of any other group a
+    producer's names are one column only if that producer's own renames link them and none of its
+    records holds two of them. So a record never has two fields in one column.
+    """
+    used, common = _uses(foot, max_names), alias_table(found, foot, max_names)
+    links = found.where(F.col("change") == "renamed").select("producer", "release", "field", "new_field")
+    names = links.select(F.explode(F.array("field", "new_field")).alias("field")).distinct()
+    held = fields.join(small(names), "field", "left_semi").groupBy("producer", "rec").agg(F.sort_array(F.collect_set("field")).alias("b")).where(F.size("b") > 1)
+    held = held.select("producer", "b").distinct().select("producer", F.explode("b").alias("a"), "b").select("producer", "a", F.explode("b").alias("b"))
+    apart = written(held.where(F.col("a") < F.col("b")).distinct(), "apart")
+    mixed = {common[r.a] for r in apart.select("a", "b").distinct().collect() if common[r.a] == common[r.b]}
+
+    @F.udf("array<struct<field string, column string>>")
+    def columns(own, renames, pairs):
+        out = [(n, common[n]) for n in own if common[n] not in mixed]
+        rest = [n for n in own if common[n] in mixed]
+        steps = [(r.field, r.new_field) for r in sorted(renames or []) if common[r.field] in mixed]
+        for m in _groups(rest, steps, {(p.a, p.b) for p in pairs or []}):
+            out += [(n, max(m, key=lambda x: used[x])) for n in m]
+        return out
+
+    each = foot.groupBy("producer").agg(F.collect_set("field").alias("own"))
+    each = each.join(links.groupBy("producer").agg(F.collect_list(F.struct("release", "field", "new_field")).alias("renames")), "producer", "left")
+    each = each.join(apart.groupBy("producer").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "producer", "left")
+    return written(each.select("producer", F.explode(columns("own", "renames", "pairs")).alias("c")).select("producer", "c.*"), "aliases")
+
+
+def column_casts(fields: DataFrame, aliases: DataFrame) -> dict[str, str]:
+    """Column -> ``list`` if any of its values is one, else ``number`` or ``boolean`` if all are, else ``text``."""
+    types = fields.groupBy("producer", "field", "type").count().join(aliases, ["producer", "field"]).groupBy("column").agg(F.collect_set("type").alias("types"))
+    return {r.column: "list" if "list" in r.types else r.types[0] if len(r.types) == 1 and r.types[0] in ("number", "boolean") else "text" for r in types.collect()}
+
+
+def consistent_table(fields: DataFrame, aliases: dict[str, str] | DataFrame, casts: dict[str, str]) -> DataFrame:
+    """One row per record with one column per name in ``aliases``, a table of ``producer_aliases`` or one for all producers.
 
     ``casts`` gives the type of a column: ``list`` wraps a lone value into a list of texts,
-    ``number`` casts, anything else is text: a string as it stands, a lone list item as that
+    ``number`` and ``boolean`` cast, anything else is text: a string as it stands, a lone list item as that
     item, other values as JSON.
     """
-    names = sorted(set(aliases.values()))
+    record = ["producer", "release", "record_no", "rec"]
+    if isinstance(aliases, dict):
+        names = sorted(set(aliases.values()))
+        named = fields.withColumn("__c", F.element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), F.col("field"))) if names else fields
+    else:
+        names = sorted(r[0] for r in aliases.select("column").distinct().collect())
+        named = fields.join(small(aliases.withColumnRenamed("column", "__c")), ["producer", "field"])
     if not names:
-        return fields.select("producer", "release", "record_no").distinct()
-    to = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    wide = fields.withColumn("__c", F.element_at(to, F.col("field"))).groupBy("producer", "release", "record_no")
-    wide = wide.agg(*[F.min(F.when(F.col("__c") == n, F.struct("type", "value", "same_as"))).alias(n) for n in names])
+        return fields.select(record).distinct().drop("rec")
+    wide = named.groupBy(record).agg(*[F.min(F.when(F.col("__c") == n, F.struct("type", "value", "same_as"))).alias(n) for n in names])
     plain = lambda c: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v"), c)
 
     def cast(n: str) -> Column:
@@ -178,6 +227,8 @@ def consistent_table(fields: DataFrame, aliases: dict[str, str], casts: dict[str
             return F.when(v["type"] == "list", F.from_json(v["value"], "array<string>")).when(v.isNotNull(), F.array(plain(v["value"])))
         if casts.get(n) == "number":
             return plain(v["same_as"]).try_cast("double")
+        if casts.get(n) == "boolean":
+            return plain(v["same_as"]).try_cast("boolean")
         return F.when(v.isNotNull(), plain(v["same_as"]))
 
     return wide.select("producer", "release", "record_no", *[cast(n).alias(n) for n in names])

@@ -92,9 +92,8 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """All records in one table, fields under one name and one type."""
     fields = _fields(spark, d)
     foot = drift.footers(fields)
-    aliases = drift.alias_table(drift.changes(fields, foot), foot)
-    casts = {aliases.get("patterns", "patterns"): "list", aliases.get("pattern", "pattern"): "list", "platforms": "list", "confidence": "number", "score": "number"}
-    out = drift.consistent_table(fields, aliases, casts)
+    aliases = drift.producer_aliases(fields, drift.changes(fields, foot), foot)
+    out = drift.consistent_table(fields, aliases, drift.column_casts(fields, aliases))
     return out.withColumnsRenamed({"producer": "pack", "release": "release_no"})
 
 

@@ -113,6 +113,34 @@ def test_drift_changes(spark):
     assert drift.changes(none).count() == 0
 
 
+def test_drift_table_keeps_every_value(spark):
+    p = {
+        ("a", 1): [{"id": "1", "pattern": "x", "patterns": ["u", "v"], "score": 1, "on": True}, {"id": "2", "pattern": "y", "score": 2}],
+        ("a", 2): [{"id": "1", "match": "x", "patterns": ["u", "v"], "score": "high"}, {"id": "2", "match": "y"}],
+        ("b", 1): [{"id": "1", "patterns": ["w"], "owner": "me"}, {"id": "2", "patterns": ["z"], "owner": "you"}],
+        ("b", 2): [{"id": "1", "match": "w", "author": ["me"]}, {"id": "2", "match": "z", "author": ["you"]}],
+        ("d", 1): [{"id": "1", "pattern": "q", "patterns": ["r"]}],
+        ("d", 2): [{"id": "1", "pattern": "q", "patterns": ["r"]}],
+    }
+    raw = _records(spark, p)
+    lone = raw.limit(0).unionByName(spark.createDataFrame([(None, "c", 1, '{"id": "7", "pattern": "k"}'), (None, "c", 1, '{"id": "8", "author": "l"}')], raw.schema))
+    f = drift.record_fields(raw.unionByName(lone), "record_no", "pack", "release_no", "record", "id")
+    foot = drift.footers(f)
+    to = drift.producer_aliases(f, drift.changes(f, foot), foot)
+    named = {(r.producer, r.field): r.column for r in to.collect()}
+    assert named["a", "match"] == "pattern" and named["a", "patterns"] == "patterns" and named["b", "match"] == "patterns"
+    assert named["b", "owner"] == named["b", "author"] == named["c", "author"]
+    casts = drift.column_casts(f, to)
+    assert casts["on"] == "boolean" and casts["score"] == "text" and casts["patterns"] == "list"
+    t = drift.consistent_table(f, to, casts)
+    assert t.count() == 12
+    filled = sum(sum(v is not None for v in r[3:]) for r in t.collect())
+    assert filled == f.count()
+    one = t.where("producer = 'a' and release = 2 and id = '1'").first()
+    assert (one.pattern, one.patterns, one.score) == ("x", ["u", "v"], "high")
+    assert sorted(r.id for r in t.where("producer = 'c'").collect()) == ["7", "8"]
+
+
 def test_flatten_forms(spark):
     m = {"a": 1, "b": None}
     finding = lambda meta, loc: {"rule_id": "R", "metadata": meta, "location": loc}
