@@ -107,15 +107,86 @@ def location_file(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$.file", "string"), F.try_variant_get(F.try_parse_json(text), "$.file", "string"), plain)
 
 
+def whole_number(v: Column, name: str) -> Column:
+    """The member as a whole number, also given as a string; null if it isn't one."""
+    return F.try_variant_get(v, f"$.{name}", "string").try_cast("bigint")
+
+
+def all_nodes(v: Column) -> Column:
+    """Does every item that isn't null become a child node?"""
+    return F.coalesce(F.forall(items(v), lambda x: F.coalesce(as_map(x).isNotNull() | F.is_variant_null(x), F.lit(True))), F.lit(False))
+
+
+def all_entries(v: Column) -> Column:
+    """Does every item that isn't null become an entry, and nothing but its key and value exist?"""
+    lists = F.coalesce(as_list(v), as_list(inner_json(v)))
+    plain = lambda x: F.size(F.map_filter(as_map(x), lambda k, _: ~k.isin("key", "value"))) == 0
+    whole = lambda x: F.coalesce(F.is_variant_null(x) | (F.try_variant_get(x, "$.key", "string").isNotNull() & plain(x)), F.lit(False))
+    return F.coalesce(entries(v).isNotNull() & F.coalesce(F.forall(lists, whole), F.lit(True)), F.lit(False))
+
+
+def rest(v: Column, columns: dict[str, Column], held: dict[str, Column]) -> Column:
+    """JSON of the members of an object that neither a column nor a child table has; null if there are none.
+
+    A member is left out if its column isn't null or if ``held``, the condition under which the child table has all
+    of it, is true. Nulls of named members are left out too.
+    """
+    named = [*columns, *held]
+    gone = F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(n)) for n, c in columns.items()], *[F.when(c, F.lit(n)) for n, c in held.items()]))
+    left = F.map_filter(as_map(v), lambda k, x: ~F.array_contains(gone, k) & ~(k.isin(named) & F.coalesce(F.is_variant_null(x), F.lit(True))))
+    return F.when(F.size(left) > 0, F.to_json(left))
+
+
+def flat(nodes: DataFrame, texts: list[str], numbers: list[str], held: dict[str, Column] | None = None) -> DataFrame:
+    """(label, parent, the named members, rest) of nodes: their flat table."""
+    v = F.col("v")
+    cols = {n: F.try_variant_get(v, f"$.{n}", "string") for n in texts} | {n: whole_number(v, n) for n in numbers}
+    return nodes.select("label", parent(F.col("label")).alias("parent"), *[c.alias(n) for n, c in cols.items()], rest(v, cols, held or {}).alias("rest"))
+
+
+def flat_locations(nodes: DataFrame) -> DataFrame:
+    """The flat table of locations, given as objects, as `file:line:column` or as objects inside strings."""
+    v, text = F.col("v"), F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    inner = F.try_parse_json(text)
+    o = F.when(as_map(v).isNotNull(), v).when(as_map(inner).isNotNull(), inner)
+    names = ["start_line", "end_line", "start_column", "end_column"]
+    at = r"^(.*?)(?::(\d+))?(?::(\d+))?\s*$"
+    part = lambda i: F.nullif(F.regexp_extract(text, at, i), F.lit(""))
+    typed = {"file": F.try_variant_get(o, "$.file", "string")} | {n: whole_number(o, n) for n in names}
+    in_text = {"file": part(1), "start_line": part(2).try_cast("bigint"), "start_column": part(3).try_cast("bigint")}
+    cols = [F.when(o.isNotNull(), c).otherwise(in_text[n]).alias(n) if n in in_text else c.alias(n) for n, c in typed.items()]
+    left = F.when(o.isNotNull(), rest(o, typed, {})).when(text.isNull(), F.to_json(v))
+    return nodes.select("label", parent(F.col("label")).alias("parent"), *cols, left.alias("rest"))
+
+
 def scan_report_tables(raw: DataFrame, record_id: str = "raw_id", payload: str = "payload") -> dict[str, DataFrame]:
-    """The flat tables of scan reports: reports, results, findings, locations, metadata.
+    """The nodes of scan reports: reports, components, results, findings, locations, metadata.
 
-    Each has ``label`` (its key) and, below the reports, ``parent`` (the key of the row it belongs to).
-    ``v`` of the results and findings stays available to callers that need further fields.
+    Each has ``label``, its key within the table; the label of the row it belongs to is ``parent`` of it. ``v`` is
+    the node itself, from which ``flat`` and ``flat_locations`` take its columns.
     """
     top = records(raw, record_id, payload, ["data", "report"])
+    components = children(top, member(F.col("v"), "components"), "report.components")
     results = children(top, member(F.col("v"), "results"), "report.results")
     findings = children(results, member(F.col("v"), "findings"), "report.results.findings")
+    locations = findings.select(F.concat_ws(".", "label", F.lit("0")).alias("label"), member(F.col("v"), "location").alias("v"))
     meta = findings.select("label", F.posexplode_outer(entries(member(F.col("v"), "metadata"))).alias("__i", "e")).where(F.col("e").isNotNull())
     meta = meta.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
-    return {"reports": top, "results": results, "findings": findings, "metadata": meta}
+    locations = locations.where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    return {"reports": top, "components": components, "results": results, "findings": findings, "locations": locations, "metadata": meta}
+
+
+def report_rows(tables: dict[str, DataFrame], level: str) -> DataFrame:
+    """The whole flat table of a level of ``scan_report_tables``."""
+    m = lambda n: member(F.col("v"), n)
+    if level == "reports":
+        held = {n: all_nodes(m(n)) for n in ("results", "components")}
+        return flat(tables[level], ["scan_root", "platform", "timestamp"], ["total_time_ms", "rule_count"], held).drop("parent")
+    if level == "components":
+        return flat(tables[level], ["kind", "name", "root", "manifest"], [])
+    if level == "results":
+        return flat(tables[level], ["path", "content_hash", "install_scope"], ["scan_time_ms"], {"findings": all_nodes(m("findings"))})
+    if level == "findings":
+        held = {"location": F.lit(True), "metadata": all_entries(m("metadata"))}
+        return flat(tables[level], ["rule_id", "title", "severity", "category", "snippet", "remediation"], [], held)
+    return flat_locations(tables["locations"])

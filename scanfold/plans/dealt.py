@@ -128,7 +128,36 @@ def p5_metadata(spark: SparkSession, d: str) -> DataFrame:
     return m.select("label", flatten.parent(F.col("label")).alias("parent"), "key", F.to_json("v").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p5_found, p5_results, p5_findings, p5_metadata)}
+def _report_rows(spark: SparkSession, d: str, level: str) -> DataFrame:
+    return flatten.report_rows(flatten.scan_report_tables(table(spark, d, "raw_reports")), level)
+
+
+def p5_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flat table of reports."""
+    return _report_rows(spark, d, "reports")
+
+
+def p5_components(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flat table of a report's components, with the link to it."""
+    return _report_rows(spark, d, "components")
+
+
+def p5_results_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_results`` with every other field."""
+    return _report_rows(spark, d, "results")
+
+
+def p5_findings_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_findings`` with every other field; locations and metadata have tables of their own."""
+    return _report_rows(spark, d, "findings")
+
+
+def p5_locations(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flat table of locations, with the link to the finding."""
+    return _report_rows(spark, d, "locations")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p5_found, p5_reports, p5_components, p5_results, p5_results_whole, p5_findings, p5_findings_whole, p5_locations, p5_metadata)}
 
 _RULE = r"""
   case when regexp_matches(upper(trim({c}, chr(9) || chr(10) || chr(13) || chr(32))), '^[A-Z]+[^A-Z0-9]*[0-9]+$')

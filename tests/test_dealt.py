@@ -165,3 +165,30 @@ def test_flatten_forms(spark):
     up = {r[0]: r[1] for r in t["metadata"].select("label", flatten.parent(F.col("label"))).collect()}
     assert up["1.1.0.1"] == "1.1.0" and set(up.values()) <= labels
     assert flatten.scan_report_tables(df.limit(0))["metadata"].count() == 0
+
+
+def test_flatten_keeps_every_field(spark):
+    finding = {"rule_id": "R", "title": "t", "severity": "high", "category": "c", "snippet": "s", "remediation": "r", "extra": [1]}
+    places = [{"file": "f", "start_line": "5", "end_line": 6, "start_column": 1, "end_column": 9, "odd": True}, "a:b.py:7:3", "c.py", json.dumps({"file": "g", "start_line": 8}), [1, 2], None]
+    report = {
+        "scan_root": "/r", "platform": "p", "timestamp": "now", "total_time_ms": 12, "rule_count": "many", "new": {"x": 1},
+        "components": [{"kind": "k", "name": "n", "root": "/r", "manifest": "m", "more": 2}, None],
+        "results": [{"path": "p", "scan_time_ms": 3, "findings": [finding | {"location": x} for x in places] + [finding | {"metadata": [{"key": "a", "value": 1}, {"value": 2}]}]}, {"path": "q", "findings": 5}],
+    }
+    t = flatten.scan_report_tables(spark.createDataFrame([(1, json.dumps(report))], "raw_id long, payload string"))
+    got = {n: flatten.report_rows(t, n).orderBy("label").collect() for n in ("reports", "components", "results", "findings", "locations")}
+    (r,) = got["reports"]
+    assert (r.label, r.scan_root, r.platform, r.timestamp, r.total_time_ms, r.rule_count) == ("1", "/r", "p", "now", 12, None)
+    assert json.loads(r.rest) == {"rule_count": "many", "new": {"x": 1}}
+    assert [tuple(c) for c in got["components"]] == [("1.0", "1", "k", "n", "/r", "m", '{"more":2}')]
+    assert [(r.label, r.scan_time_ms, r.rest) for r in got["results"]] == [("1.0", 3, None), ("1.1", None, '{"findings":5}')]
+    f = got["findings"]
+    assert len(f) == 7 and all((x.title, x.snippet, x.remediation, x.parent) == ("t", "s", "r", "1.0") for x in f)
+    assert [json.loads(x.rest) for x in f[:6]] == [{"extra": [1]}] * 6 and "metadata" in json.loads(f[6].rest)
+    assert [tuple(x)[1:] for x in got["locations"]] == [
+        ("1.0.0", "f", 5, 6, 1, 9, '{"odd":true}'),
+        ("1.0.1", "a:b.py", 7, None, 3, None, None),
+        ("1.0.2", "c.py", None, None, None, None, None),
+        ("1.0.3", "g", 8, None, None, None, None),
+        ("1.0.4", None, None, None, None, None, "[1,2]"),
+    ]
