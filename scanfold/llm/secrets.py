@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 # Token forms of public services.
 SERVICE_TOKENS = [
@@ -78,15 +78,14 @@ SUSPECT = (
     r"|(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}|AIza|[srp]k_(?:live|test)_|npm_|glpat-|hf_|gh[pousr]_|github_pat_|xox[abeoprs]-|xapp-|SG\.|sk-|pypi-|dop_v1_|shp(?:at|ss|ca|pa)_|whsec_|ya29\.|dckr_pat_|hv[sb]\.|lin_api_|eyJ"
 )
 SUSPECT_FILE = r"(?i)(?:^|[/\\])(?:id_(?:rsa|dsa|ecdsa|ed25519)|[^/\\]*\.(?:key|ppk)|[^/\\]*[_-]private\.pem|secrets?[/\\][^/\\]+)$"
-KEY_LINE = r"[0-9A-Za-z+/=]"
+KEY_LETTERS = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/=")
 BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-KEY_CHARS = 40_000  # a private key isn't longer
 BREAK = r"(?:\\r)?\\n|\r?\n"
 
 _token = re.compile(r"(?<![0-9A-Za-z_/+.-])(?:" + "|".join(SERVICE_TOKENS) + r")(?![0-9A-Za-z_])")
 _pair = re.compile(
-    r"""(?<![\w.$-])(?P<name>[A-Za-z_][\w.$-]{0,120})(?P<q>\\?["'`]?\]?)\s*(?P<op>:=|=>|=(?!=)|:(?!:)|,(?=\s*["'`]))\s*(?P<pre>[rbfu]?)(?:(?P<v1>\\?["'`])(?P<s>[^"'`\\]*(?:\\(?!n)[^"'`\\]*)*)(?P<end>\\?["'`])?|(?P<b>[^\s"'`,;<>(){}\[\]&|]+(?:[(\[][^\s]*)?))"""
+    r"""(?<![\w.$-])(?P<name>[A-Za-z_][\w.$-]*+)(?P<q>\\?["'`]?\]?)\s*(?P<op>:=|=>|=(?!=)|:(?!:)|,(?=\s*["'`]))\s*(?P<pre>[rbfu]?)(?:(?P<v1>\\?["'`])(?P<s>[^"'`\\]*(?:\\(?!n)[^"'`\\]*)*)(?P<end>\\?["'`])?|(?P<b>[^\s"'`,;<>(){}\[\]&|]+(?:[(\[][^\s]*)?))"""
 )
 _xml = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)(?:\s[^<>]*)?>(?P<v>[^<>\s]+)</(?P=name)>")
 _url = re.compile(r"(?<![a-z0-9+.-])(?P<scheme>[a-z][a-z0-9+.-]{0,30})://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>`]+(?:/[^\s/@\"'<>`]*)?)@(?=[\w\[.-])", re.I)
@@ -95,10 +94,7 @@ _header = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:,=]\s*[\"'`]?\s*
 _key_header = re.compile(r"(?i)\bx-(?:[a-z]+-)*(?:key|token|secret|auth|password)[\"']?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,}\\)]+)")
 _bearer = re.compile(r"(?i)\bbearer\s+(?P<v>[0-9A-Za-z._~+/-]{16,}=*)")
 _commands = [
-    re.compile(r"\bcurl\b[^|;]{0,400}?\s(?:-u|--user|--proxy-user)[ =]?[\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"']+)"),
-    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^|;]{0,400}?\s-p(?P<v>[^\s\"']+|(?<=-p)[\"'][^\"']+)"),
     re.compile(r"\bsshpass\s+-p\s*[\"']?(?P<v>[^\s\"']+)"),
-    re.compile(r"\b(?:docker|podman|helm|az|oc|kubectl|npm|psql|mongo|mongosh|redis-cli|ldapsearch)\b[^|;]{0,400}?\s(?:--password|-p|-a|-w)[ =][\"']?(?P<v>[^\s\"'-][^\s\"']*)"),
     re.compile(r"\becho\s+(?:-n\s+)?[\"']?(?P<v>[^\s\"'|]+)[\"']?\s*\|\s*(?:sudo\s+-S|docker\s+login|passwd|chpasswd|su\b)"),
     re.compile(r"--(?:pass(?:word|wd|phrase)?|pwd|token|secret|api-?key|access-?key|secret-?key|auth-?token)[ =][\"']?(?P<v>[^\s\"']+)"),
     re.compile(r"(?i)\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<v>\S+)"),
@@ -106,6 +102,12 @@ _commands = [
     re.compile(r"(?i)\blog[- ]?in\s+\S+\s*(?:/|,|with|and)\s*(?:password|passwd|pass|pwd)\s*:?\s*[\"'`]?(?P<v>[^\s\"'`,;]+)"),
     re.compile(r"(?i)\bidentified\s+by\s+[\"'](?P<v>[^\"']+)"),
 ]
+# The name of a command, and the option of it that gives a password, anywhere before the next | or ;
+_options = [
+    (re.compile(r"\bcurl\b"), re.compile(r"\s(?:-u|--user|--proxy-user)[ =]?[\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"']+)")),
+    (re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b"), re.compile(r"\s-p(?P<v>[^\s\"']+|(?<=-p)[\"'][^\"']+)")),
+    (re.compile(r"\b(?:docker|podman|helm|az|oc|kubectl|npm|psql|mongo|mongosh|redis-cli|ldapsearch)\b"), re.compile(r"\s(?:--password|-p|-a|-w)[ =][\"']?(?P<v>[^\s\"'-][^\s\"']*)")),
+]
 _auth_entry = re.compile(r"\"auth\"\s*:\s*\"(?P<v>[0-9A-Za-z+/]{8,}={0,2})\"")
 _npm = re.compile(r":_(?:authToken|auth|password)\s*=\s*[\"']?(?P<v>[^\s\"']+)")
 _fields = re.compile(r"^\s*[\w.*-]+:(?:\d{2,5}|\*):[\w*-]+:[\w*.-]+:(?P<v>[^\s:]+)\s*$")
@@ -116,6 +118,7 @@ _data_line = re.compile(r"^\s+[\w.-]+:\s*[\"']?(?P<v>[0-9A-Za-z+/]{4,}={0,2})[\"
 _key_lines = re.compile(r"^(?:[0-9A-Za-z+/=]{1,76}(?:\\n|\n|$))+$")
 _one_value = re.compile(r"^\s*[^\s:=\"'<>]+\s*$")
 _weak_query = {"key", "sig", "signature", "code", "auth", "access", "sas", "hmac", "k", "t"}
+_stop = re.compile(r"[|;]")
 _prose = re.compile(r"^[a-z]+(?:[ -][a-z]+)*$")
 
 
@@ -217,8 +220,38 @@ def _private_keys(text: str, lo: int, hi: int, add: Callable[[int, int, str], No
         add(m.start(), stop, "private key")
         at = stop
     if (e := END.search(text, lo, hi)) and not BEGIN.search(text, lo, e.start()):  # its beginning isn't shown
-        head = re.search(r"(?:" + KEY_LINE + r"{1,76}(?:\\n|\n))*$", text[max(lo, e.start() - KEY_CHARS) : e.start()])
-        add(max(lo, e.start() - KEY_CHARS) + head.start(), e.end(), "private key")
+        add(_key_start(text, lo, e.start()), e.end(), "private key")
+
+
+def _key_start(text: str, lo: int, at: int) -> int:
+    """Where the lines of key characters that end at ``at`` begin."""
+    while br := next((br for br in ("\\r\\n", "\\n", "\r\n", "\n") if at - len(br) >= lo and text.startswith(br, at - len(br))), None):
+        end = k = at - len(br)
+        while k > lo and text[k - 1] in KEY_LETTERS:
+            k -= 1
+        if lo < k < end and text[k - 1] == "\\" and text[k] == "n":  # of a break, not of the key
+            k += 1
+        if k == end:
+            break
+        at = k
+    return at
+
+
+def _option_matches(line: str, name: re.Pattern, option: re.Pattern) -> Iterator[re.Match]:
+    """The first option after each name, with no | or ; in between. One pass: no search starts before the last one's end."""
+    at, stop, m = 0, -1, None
+    for n in name.finditer(line):
+        if n.start() < at:
+            continue
+        if m is None or m.start() < n.end():
+            m = option.search(line, n.end())
+            if m is None:
+                return
+        if stop < n.end():
+            stop = next((x.start() for x in _stop.finditer(line, n.end())), len(line))
+        if m.start() < stop:
+            yield m
+            at = m.end()
 
 
 def _line(line: str, add: Callable[[int, int, str], None], count: Callable[[str], int], field_file: bool) -> None:
@@ -235,8 +268,8 @@ def _line(line: str, add: Callable[[int, int, str], None], count: Callable[[str]
         n, v = m.group("name"), m.group("v")
         if (is_secret_name(n) or plain_name(n) in _weak_query) and not is_placeholder(v) and is_unnatural(v, count):
             add(*m.span("v"), "query")
-    for rx in _commands:
-        for m in rx.finditer(line):
+    for ms in [*(_option_matches(line, *o) for o in _options), *(rx.finditer(line) for rx in _commands)]:
+        for m in ms:
             if not is_placeholder(m.group("v")) and not _is_word(m.group("v"), count):
                 add(*m.span("v"), "command")
     for m in _xml.finditer(line):

@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 from pathlib import Path
 
 import pytest
@@ -212,3 +213,32 @@ def test_reading_level_held_out(spark):
     held = [got[k] == lv for k, _, lv in docs[100:]]
     assert sum(held) / len(held) > 0.95
     assert level.reading_levels(df, lab.limit(0), "doc_id", "text", "level").count() == 0
+
+
+@pytest.mark.parametrize("head", ["curl -H 'a: b' {} -u me:", "mysql {} -p", "docker login {} -p ", "psql {} -w "])
+def test_secrets_far_from_their_command(encoder, head):
+    text = head.format("--opt=" + "x" * 3000) + "zK3vQ9rT7w"
+    assert [text[a:b] for a, b, _ in secrets.find(text, encoder.count)] == ["zK3vQ9rT7w"]
+    cut = text.replace("--opt=", "; echo ")
+    assert not secrets.find(cut, encoder.count)
+    assert len(secrets.find("\n".join([text] * 3), encoder.count)) == 3
+
+
+def test_secrets_long_name(encoder):
+    text = "a" * 500 + "_password = 'zK3vQ9rT7w'"
+    assert [text[a:b] for a, b, _ in secrets.find(text, encoder.count)] == ["zK3vQ9rT7w"]
+
+
+@pytest.mark.parametrize("br", ["\n", "\r\n", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("width", [64, 60_000])
+def test_secrets_key_without_its_begin(encoder, br, width):
+    key = br.join(["aB3/" * (width // 4)] * 3 + ["nQ=="]) + br + "-----END RSA PRIVATE KEY-----"
+    for before in ("", "...", "# note: " + br):
+        assert [(before + key)[a:b] for a, b, _ in secrets.find(before + key, encoder.count)] == [key]
+
+
+def test_secrets_linear_time(encoder):
+    began = time.monotonic()
+    for text in ("curl " * 40_000, "mysql -p " * 20_000, "docker x -p -" * 20_000, "a" * 400_000 + "=", "curl;" * 40_000 + " -u a:b"):
+        secrets.find(text, encoder.count)
+    assert time.monotonic() - began < 20
