@@ -150,17 +150,23 @@ def alerts_windowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_alerts_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's latest event of a kind, if it was within an hour of the end: the batch form of expiring alerts."""
+    """Each user's latest event, however old, as its SQL has it: nothing expires. ``message_alerts_live`` has the expiry."""
     e = table(spark, d, "events").select("user_id", "ts", F.col("event_type").alias("alert"))
     now = e.agg(F.max("ts").alias("now"))  # one row
     return watch.latest_alerts(e.join(F.broadcast(now)).where(F.col("ts") <= F.col("now")).select("user_id", "ts", "alert"), "user_id", "ts", F.lit("2100-01-01").cast("timestamp"), 10**10).select("user_id", "alert", "ts")
 
 
+def message_alerts_live(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's latest event, if it was within an hour of the end: the batch form of expiring alerts."""
+    e = table(spark, d, "events").select("user_id", "ts", F.col("event_type").alias("alert"))
+    return watch.latest_alerts(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), 3600).select("user_id", "alert", "ts")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reference_edges, agent_reachable, trusted_domains, adjusted_severities, trust_apply, trust_quarantine, baseline_new_files, baseline_new_findings, cache_lookup,
-        deps_typosquat, deps_scripts, ast_findings, sarif_results, sarif_rules, alerts_windowed, message_alerts_ttl,
+        deps_typosquat, deps_scripts, ast_findings, sarif_results, sarif_rules, alerts_windowed, message_alerts_ttl, message_alerts_live,
     )
 }
 
@@ -194,6 +200,7 @@ ORACLE = {
       from r qualify row_number() over (partition by r order by detected_at, finding_id) = 1""",
     "alerts_windowed": "select date_trunc('hour', ts) \"start\", event_type kind, count(*) n from events group by all",
     "message_alerts_ttl": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1",
+    "message_alerts_live": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1 and ts >= (select max(ts) from events) - interval 1 hour",
     "trusted_domains": _F
     + r""", u as (select finding_id, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 1)) host, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 2)) rest,
         generate_subscripts(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 1), 1) n from f where finding_id is not null)

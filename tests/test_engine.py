@@ -243,3 +243,13 @@ def test_alert_state(spark, tmp_path):
     assert sorted((r.channel, r.alert, r.state) for r in out.collect()) == [("c1", "B", "new"), ("c2", "C", "new")]
     late = watch.latest_alerts(src, "ch", "ts", F.timestamp_seconds(F.lit(64)), 60)
     assert [(r.ch, r.alert) for r in late.collect()] == [("c1", "B")]
+
+
+def test_alerts_expire_in_the_query(spark, tmp_path):
+    from scanfold.plans import context
+
+    rows = [(1, 0, "old"), (2, 3599, "gone"), (3, 3600, "edge"), (4, 7100, "new"), (4, 10, "before"), (5, 7200, "last")]
+    e = spark.createDataFrame(rows, "user_id long, s long, event_type string").select("user_id", F.timestamp_seconds("s").alias("ts"), "event_type")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = context.message_alerts_live(spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.alert) for r in got) == [(3, "edge"), (4, "new"), (5, "last")]
