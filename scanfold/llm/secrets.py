@@ -1,11 +1,12 @@
 """Credentials embedded in code and configuration.
 
-A string that nobody made up by hand falls into many short pieces under a public
-tokenizer's vocabulary: characters per subword tell a random key (below two) from names
-and prose (four and more). That measure is combined with rules of context: what the value
-is assigned to, how it is quoted, which command or header it stands in. A strong context
-(`password = ...`) needs no unnatural value, a weak one (`key=...` in an address, the last
-field of a colon list) does. Found spans are exact, so masking changes nothing else.
+Most are told by context: what the value is assigned to, how it is quoted, which command or
+header it stands in, or the fixed form of a service's tokens. Where that is weak (`key=...` in an
+address, an authorization header without a scheme) the value must also be unnatural: a string
+that nobody made up by hand falls into many short pieces under a public tokenizer's vocabulary,
+so that characters per subword tell a random key (below two) from names and prose (four and
+more). No string is found for being unnatural alone. Found spans are exact, so masking changes
+nothing else.
 """
 
 from __future__ import annotations
