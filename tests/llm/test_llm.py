@@ -183,12 +183,50 @@ def test_near_finds_all_within_radius():
     rnd = random.Random(7)
     it = leaks.Items([0, 1], [" ".join(_item(rnd)), " ".join(_item(rnd))])
     fps = it.windows[0]
-    probe = np.array([int(f) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(6))) for f in fps for _ in range(3)], np.uint64)
+    probe = np.array([int(f) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(15))) for f in fps for _ in range(6)], np.uint64)
     mine, theirs = it.near(probe)
     want = {(a, b) for a, p in enumerate(probe.tolist()) for b, f in enumerate(fps.tolist()) if (p ^ f).bit_count() <= leaks.RADIUS}
     assert set(zip(mine.tolist(), theirs.tolist())) == want
 
 
+def _edited(rnd, words, every, how, noise):
+    out, off = [], rnd.randrange(every)
+    for k, w in enumerate(words):
+        hit = (k + off) % every == every - 1
+        out += {"exchange": noise(1), "insert": [w, *noise(1)], "insert two": [w, *noise(2)], "leave out": []}[how] if hit else [w]
+    return out
+
+
+@pytest.mark.parametrize("every", range(4, 13))
+def test_leaks_with_words_exchanged(every):
+    """Against an alignment of every item with every document, whole and half items, all kinds of single words in between."""
+    rnd = random.Random(every)
+    common = ["w%d" % k for k in range(400)]
+    draw = lambda n: rnd.choices(common, [1 / (k + 5) for k in range(400)], k=n)
+    items = [draw(rnd.randrange(60, 120)) for _ in range(60)]
+    docs = []
+    for w in items:
+        for how in ("exchange", "insert", "insert two", "leave out"):
+            a = rnd.randrange(len(w) // 2 - 3)
+            for part in (w, w[a : a + len(w) // 2 + 4]):
+                docs.append(draw(80) + _edited(rnd, part, every, how, draw) + draw(80))
+    brute = {(k, j) for k, d in enumerate(docs) for j in {k // 8, (k // 8 + 1) % 60, rnd.randrange(60)} if leaks.is_leak(items[j], d)}
+    assert len(brute) > 300
+    found = set(leaks.search(leaks.Items(list(range(60)), [" ".join(w) for w in items]), docs))
+    assert len(found & brute) >= 0.99 * len(brute) and all(leaks.is_leak(items[j], docs[k]) for k, j in found)
+
+
+def test_leaks_of_items_that_share_a_question():
+    """Windows that all items have: looked up once, and no leak by themselves unless they are half of an item."""
+    rnd = random.Random(9)
+    stock = ["stock%d" % k for k in range(30)]
+    items = [stock + _item(rnd, 50) for _ in range(800)] + [stock + _item(rnd, 20)]
+    docs = [["pad"] * 20 + stock + _item(rnd, 40) for _ in range(400)] + [["pad"] * 5 + items[7]]
+    began = time.monotonic()
+    got = set(leaks.search(leaks.Items(list(range(801)), [" ".join(w) for w in items]), docs))
+    assert got == {(k, 800) for k in range(401)} | {(400, 7)} and time.monotonic() - began < 60
+
+
 def test_prose():
     text = "---\nname: x\n---\n# A heading here\n\nThe cat sat on the mat, e.g. at No. 4 or v2.1 of it. Do not go there!\nThe next line\ngoes on here.\n\n- runThing v1.2.3\n* This is a sentence in a list\n```\nthe code is not in the prose.\n```\nSee https://x.y/z\nfor x in y: z(1)\n"
     assert [len(s) for s in prose.sentences(text)] == [14, 4, 6, 7]
