@@ -1,17 +1,20 @@
 """Credentials embedded in code and configuration.
 
-Most are told by context: what the value is assigned to, how it is quoted, which command or
-header it stands in, or the fixed form of a service's tokens. Where that is weak (`key=...` in an
-address, an authorization header without a scheme) the value must also be unnatural: a string
-that nobody made up by hand falls into many short pieces under a public tokenizer's vocabulary,
-so that characters per subword tell a random key (below two) from names and prose (four and
-more). No string is found for being unnatural alone. Found spans are exact, so masking changes
-nothing else.
+First every string of a text is scored by characters per subword under a public tokenizer's
+vocabulary: a string that nobody wrote as language falls into many short pieces, so that a random
+key has below two characters a piece, a made-up password below five, and names and prose more.
+Then context decides how unnatural a string must be to count as a credential: below ``CHOSEN`` where
+it is assigned to a password, stands in a command or header, or has the form of a service's tokens;
+below ``WEAK`` in contexts that hold other things too; below ``RANDOM``, with the look of a key, where nothing
+but its place as a value speaks for it. A text without an unnatural string has no credential. Found
+spans are exact, so masking changes nothing else.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -71,9 +74,11 @@ PLACEHOLDER = re.compile(
 PLACEHOLDER_PART = re.compile(
     r"(?i)change[-_ ]?(?:me|it|this)|replace[-_ ]?(?:me|it|this|with)|your[-_ ]|[-_]here\b|example(?!\.)|placeholder|dummy|xxxx|\*\*\*|\.\.\.|redact|insert[-_ ]|fill[-_ ]?in|to[-_ ]?be[-_ ]?(?:set|done)|goes[-_ ]here|<[a-z]|not[-_ ]?(?:set|real|a[-_ ]real)|fake|todo"
 )
+CHOSEN, WEAK, RANDOM = 5.0, 2.6, 2.0  # characters per subword below which a string counts, by context
+KEY_CHARS = 20  # of a string that counts by itself
 # Every rule below needs one of these in the text, or a file that SUSPECT_FILE names. Valid in Java and in Python.
 SUSPECT = (
-    r"(?i)pass|pwd|pw|kennwort|clave|senha|contrase|parola|wachtwoord|secret|token|key|credential|auth|bearer|log[- ]?in\b|identified"
+    r"(?i)[0-9a-z_+/-]{20}|pass|pwd|pw|kennwort|clave|senha|contrase|parola|wachtwoord|secret|token|key|credential|auth|bearer|log[- ]?in\b|identified"
     r"|sudo|chpasswd|\bsu\b|curl\b[^|;]*\s-(?:u|-user|-proxy-user)|\b(?:mysql\w*|mariadb)\b|\b(?:docker|podman|helm|az|oc|kubectl|npm|psql|mongo|mongosh|redis-cli|ldapsearch)\b[^|;]*\s-[paw][ =]"
     r"|://[^\s/@]*:[^\s@]*@|[?&;](?:sig|signature|code|access|sas|hmac|k|t)=|:(?:\d{2,5}|\*):[\w*-]+:"
     r"|(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}|AIza|[srp]k_(?:live|test)_|npm_|glpat-|hf_|gh[pousr]_|github_pat_|xox[abeoprs]-|xapp-|SG\.|sk-|pypi-|dop_v1_|shp(?:at|ss|ca|pa)_|whsec_|ya29\.|dckr_pat_|hv[sb]\.|lin_api_|eyJ"
@@ -89,7 +94,7 @@ _pair = re.compile(
     r"""(?<![\w.$-])(?P<name>[A-Za-z_][\w.$-]*+)(?P<q>\\?["'`]?\]?)\s*(?P<op>:=|=>|=(?!=)|:(?!:)|,(?=\s*["'`]))\s*(?P<pre>[rbfu]?)(?:(?P<v1>\\?["'`])(?P<s>[^"'`\\]*(?:\\(?!n)[^"'`\\]*)*)(?P<end>\\?["'`])?|(?P<b>[^\s"'`,;<>(){}\[\]&|]+(?:[(\[][^\s]*)?))"""
 )
 _xml = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)(?:\s[^<>]*)?>(?P<v>[^<>\s]+)</(?P=name)>")
-_url = re.compile(r"(?<![a-z0-9+.-])(?P<scheme>[a-z][a-z0-9+.-]{0,30})://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>`]+(?:/[^\s/@\"'<>`]*)?)@(?=[\w\[.-])", re.I)
+_url = re.compile(r"(?<=[a-z0-9])://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>`]+(?:/[^\s/@\"'<>`]*)?)@(?=[\w\[.-])", re.I)
 _query = re.compile(r"[?&;](?P<name>[A-Za-z_][\w.-]*)=(?P<v>[^&\s\"'<>`#;)]+)")
 _header = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?\s*[:,=]\s*[\"'`]?\s*(?:(?P<scheme>basic|bearer|token|apikey|digest|negotiate)\s+)?(?P<v>[^\s\"'`,}\\)]+)")
 _key_header = re.compile(r"(?i)\bx-(?:[a-z]+-)*(?:key|token|secret|auth|password)[\"']?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,}\\)]+)")
@@ -116,11 +121,19 @@ _env_name = re.compile(r"(?:^|[\s{,-])[\"']?name[\"']?\s*:\s*[\"']?(?P<name>[A-Z
 _env_value = re.compile(r"^\s*[\"']?value[\"']?\s*:\s*(?:[\"'](?P<s>[^\"']*)[\"']?|(?P<b>[^\s\"']+))")
 _secret_kind = re.compile(r"^\s*kind:\s*[\"']?Secret\b")
 _data_line = re.compile(r"^\s+[\w.-]+:\s*[\"']?(?P<v>[0-9A-Za-z+/]{4,}={0,2})[\"']?\s*$")
-_key_lines = re.compile(r"^(?:[0-9A-Za-z+/=]{1,76}(?:\\n|\n|$))+$")
+_key_lines = re.compile(r"^(?:[0-9A-Za-z+/=]+(?:\\n|\n|$))+$")
 _one_value = re.compile(r"^\s*[^\s:=\"'<>]+\s*$")
 _weak_query = {"key", "sig", "signature", "code", "auth", "access", "sas", "hmac", "k", "t"}
 _stop = re.compile(r"[|;]")
-_prose = re.compile(r"^[a-z]+(?:[ -][a-z]+)*$")
+_string = re.compile(r"(?:[^\s\"'`<>(){}\[\],;|=:@/\\]|\\(?!r?\\?n))+")
+_run = re.compile(r"[^\W_]+")
+_value = re.compile(r"""(?:(?P<q>["'`])|[=:]\s*)(?P<v>[0-9A-Za-z_+/.~-]{%d,}=*)(?(q)(?P=q)|(?=[\s,;}\])]|$))""" % KEY_CHARS)
+# What a random string is without being a credential, told by the words before it.
+PLAIN_CONTEXT = re.compile(
+    r"(?i)(?:sha-?\d*|md5|digest|hash|checksum|crc|integrity|commit|revision|\brev|etag|uuid|guid|id|fingerprint|thumbprint|public|pub|cert(?:ificate)?|ssh-\w+|ecdsa-\S+"
+    r"|base64,?|data|atob|decode\w*|src|href|ur[li]|path|file|image|font|icon|version|regex|pattern|rule|name|title|text|message|content|payload|sample|example|signature|nonce|seed)"
+    r"[\w.-]*[\"'`\])]*\s*(?:[:=,(]|=>|\s)*\s*[\"'`]?$"
+)
 
 
 def plain_name(name: str) -> str:
@@ -146,14 +159,19 @@ def is_placeholder(value: str) -> bool:
 
 
 def naturalness(value: str, count: Callable[[str], int]) -> float:
-    """Characters per subword, over the value's runs of letters and digits."""
-    runs = re.findall(r"[0-9A-Za-z]+", value)
-    return sum(map(len, runs)) / max(1, sum(count(r) for r in runs))
+    """Characters per subword, over the value's runs of letters and digits.
+
+    Endless for a value without any, and for a word in lower case that the vocabulary has as one piece, however short.
+    """
+    runs = _run.findall(value)
+    if not runs or len(runs) == 1 and runs[0].isalpha() and runs[0].islower() and 1 in (count(runs[0]), count(" " + runs[0])):
+        return math.inf
+    return sum(map(len, runs)) / sum(map(count, runs))
 
 
-def is_unnatural(value: str, count: Callable[[str], int], least: int = 10, most_chars: float = 2.6) -> bool:
-    """Long enough, and cut into pieces shorter than words are."""
-    return len(value) >= least and naturalness(value, count) < most_chars
+def unnatural(text: str, count: Callable[[str], int], below: float = CHOSEN) -> list[tuple[int, int, float]]:
+    """(start, end, characters per subword) of every string of a text that has fewer than ``below``, in order."""
+    return [(m.start(), m.end(), n) for m in _string.finditer(text) if (n := naturalness(m.group(), count)) < below]
 
 
 def find(text: str, count: Callable[[str], int], file: str | None = None) -> list[tuple[int, int, str]]:
@@ -168,29 +186,39 @@ def find(text: str, count: Callable[[str], int], file: str | None = None) -> lis
     lo = 3 if text.startswith("...") else 0
     hi = len(text) - 3 if text.endswith("...") and len(text) >= lo + 3 else len(text)
     found: list[tuple[int, int, str]] = []
+    marks = unnatural(text, count)
+    if not marks:
+        return found
 
-    def add(a: int, b: int, rule: str) -> None:
+    def add(a: int, b: int, rule: str, limit: float = CHOSEN) -> None:
+        """The span counts if an unnatural enough string reaches into it, and no other span does."""
         b = min(b, hi)
         k = bisect.bisect_left(found, (a,))
-        if a < b and (k == len(found) or b <= found[k][0]) and (k == 0 or found[k - 1][1] <= a):
-            found.insert(k, (a, b, rule))
+        if a >= b or k < len(found) and b > found[k][0] or k and found[k - 1][1] > a:
+            return
+        at = bisect.bisect_left(marks, (b,))
+        while at and marks[at - 1][1] > a:
+            at -= 1
+            if marks[at][2] < limit and (marks[at][0] >= a and marks[at][1] <= b or naturalness(text[a:b], count) < limit):
+                found.insert(k, (a, b, rule))
+                return
 
     file = (file or "").replace("\\", "/")
     _private_keys(text, lo, hi, add)
     if not found and KEY_FILE.search(file) and _key_lines.match(text[lo:hi]):
-        add(lo, hi, "key file")
+        add(lo, hi, "key file", WEAK)
     if (m := VALUE_FILE.search(file)) and is_secret_name(m.group("name")) and _one_value.match(text[lo:hi]) and not is_placeholder(text[lo:hi].strip()):
         body = text[lo:hi]
         add(lo + len(body) - len(body.lstrip()), lo + len(body.rstrip()), "value file")
     for m in _token.finditer(text, lo, hi):
         if not PLACEHOLDER_PART.search(m.group()) and not re.search(r"(.)\1{7,}", m.group()):
-            add(*m.span(), "service token")
+            add(*m.span(), "service token", WEAK)
     lines = _lines(text, lo, hi)
     secret_kind = False
     for k, (a, b) in enumerate(lines):
         line = text[a:b]
         secret_kind = secret_kind or _secret_kind.match(line) is not None
-        _line(line, lambda x, y, r: add(a + x, a + y, r), count, FIELD_FILE.search(file) is not None)  # noqa: B023
+        _line(line, lambda x, y, r, limit=CHOSEN: add(a + x, a + y, r, limit), FIELD_FILE.search(file) is not None)  # noqa: B023
         if secret_kind and (m := _data_line.match(line)) and not re.match(r"\s*(?:name|namespace|type|kind|apiVersion)\s*:", line):
             add(a + m.start("v"), a + m.end("v"), "secret data")
         if k and (m := _env_value.match(line)) and (n := _env_name.search(text[lines[k - 1][0] : lines[k - 1][1]])):
@@ -198,9 +226,22 @@ def find(text: str, count: Callable[[str], int], file: str | None = None) -> lis
             v = m.group(g)
             if is_secret_name(n.group("name")) and not is_placeholder(v):
                 add(a + m.start(g), a + m.end(g), "environment")
+        for m in _value.finditer(line):
+            if _like_key(m.group("v")) and not PLAIN_CONTEXT.search(line, max(0, m.start() - 80), m.start("v")) and not is_placeholder(m.group("v")):
+                add(a + m.start("v"), a + m.end("v"), "random value", RANDOM)
     return found
 
 
+def _like_key(v: str) -> bool:
+    """Letters of both cases and digits, and neither a path, an address nor a text in base64."""
+    if not (re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v)) or v.startswith(("http", "/", "./")) or v.count("/") > len(v) // 12:
+        return False
+    try:
+        return not base64.b64decode(v, validate=True).decode().isprintable()
+    except ValueError:
+        return True
+
+
 def _lines(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     out, at = [], lo
     for m in re.finditer(BREAK, text[:hi]):
@@ -255,45 +296,36 @@ def _option_matches(line: str, name: re.Pattern, option: re.Pattern) -> Iterator
             at = m.end()
 
 
-def _line(line: str, add: Callable[[int, int, str], None], count: Callable[[str], int], field_file: bool) -> None:
+def _line(line: str, add: Callable[..., None], field_file: bool) -> None:
     for m in _url.finditer(line):
         if not is_placeholder(m.group("v")):
             add(*m.span("v"), "address")
     for rx, rule in ((_header, "header"), (_key_header, "header"), (_bearer, "header"), (_auth_entry, "auth entry"), (_npm, "npm")):
         for m in rx.finditer(line):
             v = m.group("v")
-            if is_placeholder(v) or rx is _header and not m.group("scheme") and not is_unnatural(v, count) or len(v) < 4:
-                continue
-            add(*m.span("v"), rule)
+            if not is_placeholder(v) and len(v) >= 4:
+                add(*m.span("v"), rule, WEAK if rx is _header and not m.group("scheme") else CHOSEN)
     for m in _query.finditer(line):
         n, v = m.group("name"), m.group("v")
-        if (is_secret_name(n) or plain_name(n) in _weak_query) and not is_placeholder(v) and is_unnatural(v, count):
-            add(*m.span("v"), "query")
+        if (is_secret_name(n) or plain_name(n) in _weak_query) and not is_placeholder(v) and len(v) >= 10:
+            add(*m.span("v"), "query", WEAK)
     for ms in [*(_option_matches(line, *o) for o in _options), *(rx.finditer(line) for rx in _commands)]:
         for m in ms:
-            if not is_placeholder(m.group("v")) and not _is_word(m.group("v"), count):
+            if not is_placeholder(m.group("v")):
                 add(*m.span("v"), "command")
     for m in _xml.finditer(line):
         if is_secret_name(m.group("name")) and not is_placeholder(m.group("v")):
             add(*m.span("v"), "element")
-    if (m := _fields.match(line)) and (field_file or not _is_word(m.group("v"), count)) and not is_placeholder(m.group("v")):
+    if (m := _fields.match(line)) and not is_placeholder(m.group("v")):
         add(*m.span("v"), "fields")
     for m in _pair.finditer(line):
         g = "s" if m.group("s") is not None else "b"
         v = m.group(g)
-        if not is_secret_name(m.group("name")) or is_placeholder(v) or " " in v.strip():
-            continue
-        if g == "b" and not _bare(line, m, v):
-            continue
-        add(*m.span(g), "pair")
-
-
-def _is_word(v: str, count: Callable[[str], int]) -> bool:
-    """A lower-case word that the vocabulary knows as one piece: no credential by itself."""
-    return _prose.match(v) is not None and (count(v) == 1 or count(" " + v) == 1)
+        if is_secret_name(m.group("name")) and not is_placeholder(v) and (g == "s" or _bare(v)):
+            add(*m.span(g), "pair", WEAK if " " in v.strip() else CHOSEN)
 
 
-def _bare(line: str, m: re.Match, v: str) -> bool:
+def _bare(v: str) -> bool:
     """Can an unquoted value be a literal? In code it is a name, a number or a call instead."""
     return not re.search(r"[()\[\]{}]", v)
 

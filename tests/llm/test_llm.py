@@ -80,6 +80,18 @@ SECRETS = [
     ('"pwd": null, "x_api_key": "", "secret": "YOUR_SECRET_HERE", "api_key": "xxxxxxxxxxxx"', None, []),
     ("request_id: '6045219c-73d1-d4fe-59f6-0789853033c3'", None, []),
     ("max_tokens = 851", None, []),
+    ('deploy("f3KxQ9vZ2LmT8wRb7Yc1PdN4")', None, ["f3KxQ9vZ2LmT8wRb7Yc1PdN4"]),
+    ("conn = '9fK3xW7pQz2LmT8wRb7Y' # mine", None, ["9fK3xW7pQz2LmT8wRb7Y"]),
+    ('"integrity": "sha512-vgkTlQN9qc3EXImLPky5iG7MlsN3M2Mzp6P9BjXkLsyy"', None, []),
+    ('build_id = "f3KxQ9vZ2LmT8wRb7Yc1PdN4"', None, []),
+    ("eval(atob('Y29uc29sZS5sb2coImhlbGxvIHdvcmxkIik='))", None, []),
+    ("x = 'Y29uc29sZS5sb2coImhlbGxvIHdvcmxkIik='", None, []),
+    ("handler = 'ThisIsOnlyALongIdentifier2InCamelCase'", None, []),
+    ('password: "x9 Kq2v 77Zp"', None, ["x9 Kq2v 77Zp"]),
+    ('password: "Enter your password"', None, []),
+    ("a" * 50 + "://me:zK3vQ9rT7w@h.test/x", None, ["zK3vQ9rT7w"]),
+    ("db.example:5432:main:me:open", None, []),
+    ("db.example:5432:main:me:open7gate", "/root/.pgpass", ["open7gate"]),
     ("...", None, []),
     ("", None, []),
 ]
@@ -98,6 +110,19 @@ def test_secrets(encoder, text, file, want):
     assert all(text[k] == out[k] for k in keep)
 
 
+@needs_vocabulary
+def test_secrets_come_from_the_tokenizer(encoder):
+    """Without the vocabulary, every string being one piece, only very short values are found, and key blocks by their header."""
+    cases = [(t, f, w) for t, f, want in SECRETS for w in want]
+    found = lambda count: sum(w in [t[a:b] for a, b, _ in secrets.find(t, count, f)] for t, f, w in cases)
+    assert found(encoder.count) == len(cases) and found(lambda s: 1) <= len(cases) // 3
+    rnd = random.Random(4)
+    keys = ["".join(rnd.choices(string.ascii_letters + string.digits, k=24)) for _ in range(200)]
+    scores = [secrets.naturalness(k, encoder.count) for k in keys]
+    prose = "the quick registry collects every package before another window opens under this folder".split()
+    assert max(scores) < secrets.RANDOM and all(secrets.naturalness(w, encoder.count) >= secrets.CHOSEN for w in prose)
+
+
 @needs_vocabulary
 def test_redact_rows(spark):
     rows = [(1, "pwd = 'hunter2!x'", "a"), (2, None, "x/id_rsa"), (3, "plain", None), (1, "pwd = 'hunter2!x'", "a"), (4, "x" * 300_000 + " password=abc123!!", "a")]
