@@ -4,8 +4,8 @@ A transducer over grapheme clusters: a cluster (a character with the marks and i
 characters that follow it) is looked up in a compiled table and replaced by what it shows.
 The table is made once, from Unicode's own data for widths, ligatures, styled letters and
 spaces, and from a list of look-alike letters, and it is checked for conflicts before use:
-no source may have two targets, no target may be a source again, and no printable ASCII
-character may change. Accents that can be seen stay, composed. The text is passed over
+no source may have two targets and no target may be a source again. Printable ASCII is no
+source. Accents that can be seen stay, composed. The text is passed over
 once, and runs of printable ASCII are skipped as a whole.
 """
 
@@ -66,9 +66,6 @@ def build_table() -> dict[str, str]:
                 table[ch] = unicodedata.normalize("NFC", alike[base[0]] + base[1:])
             elif len(base) == 1 and base != ch:
                 table[ch] = alike.get(base, base)
-    for ch in map(chr, range(0x7F)):
-        if ch in table:
-            raise ValueError(f"ASCII {ch!r} would change")
     for ch, shown in table.items():
         again = "".join(table.get(x, x) for x in shown)
         if again != shown:
