@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.llm import prose
-from scanfold.session import spread, written
+from scanfold.session import small, spread, written
 
 MIN_SENTENCES = 3
 FAMILIAR_WORDS = 200
@@ -70,7 +70,7 @@ def labelled(feats: DataFrame, labels: DataFrame, doc_id: str, level: str, most:
     Repeated gradings count once. At most ``most`` documents, in the order of a hash of their id.
     """
     one = labels.where(F.col(level).isin(*LEVELS) & F.col(doc_id).isNotNull()).dropDuplicates().groupBy(doc_id).agg(F.percentile(level, 0.5).alias("__level"))
-    rows = feats.join(one, doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(most).select("unfamiliar", "mean_log_length", "__level").collect()
+    rows = feats.join(small(one), doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(most).select("unfamiliar", "mean_log_length", "__level").collect()
     return np.array([tuple(r) for r in rows], dtype=float).reshape(-1, 3)
 
 

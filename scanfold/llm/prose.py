@@ -16,25 +16,34 @@ OTHER = frozenset(
 ) - ENGLISH - {"do", "no", "as"}
 ABBREVIATIONS = frozenset("e.g i.e approx no vs etc cf fig al dr mr mrs ms st inc ltd co dept est resp ca p pp vol sec eq ref".split())
 
+MANY = 2  # sentence ends by which a line is a paragraph
+
 _break = re.compile(r"\r\n|\r|\n| | |\x85")
 _fence = re.compile(r"^\s*(?:```|~~~)")
 _bullet = re.compile(r"^\s*(?:[*+•‣–-]|\d{1,3}[.)]|[a-z][.)]|>+|//+|#(?=\s[a-z])|/\*+|\*/|<!--|--)\s+")
 _heading = re.compile(r"^\s{0,3}#{1,6}\s")
 _codeish = re.compile(r"[{}<>=\[\]|\\`$@~^]|\w\(|\);|::|->|&&|https?://|www\.|\w/\w+/\w|^\s*[\w.-]+:\s*\S*$|^\s*[\w-]+:\s|\w;\s*$|\w_\w")
 _signs = re.compile(r"[{}<>=\[\]|\\`$@~^_(:;/&]|->|www\.")
+_span = re.compile(r"`[^`]*`|\]\([^)\s]*\)|\[(?=[^\]]*\]\()|(?:https?://|www\.)\S*[\w/]")
 _item = re.compile(r"\bv\d+(?:\.\d+)+\s*$")
 _word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*")
 _stop = re.compile(r"[.!?]+[\"')\]”’]*(?=\s|$)")
 _joined = re.compile(r"[,;]\s+(?:and|or|but)\s+(?=[A-Z][a-z]*\s)|(?:;|\s[–—-])\s+(?=[A-Z][a-z]*\s)")
 
 
+def _without_code(paragraph: str) -> str:
+    """The sentences of a paragraph on one line that hold no code, once its code spans and links are taken out."""
+    bare = _span.sub(" ", paragraph)
+    return " ".join(s.strip() for s in _split(bare) if not (_signs.search(s) and _codeish.search(s)))
+
+
 def _blocks(text: str) -> list[str]:
     """Runs of prose lines; each is a text in which sentences can be looked for."""
     lines = _break.split(text)
     out: list[str] = []
     run = ""
     fenced = False
-    front = bool(lines) and lines[0].strip() == "---"
+    front = lines[0].strip() == "---" and any(x.strip() == "---" for x in lines[1:])
     for n, line in enumerate(lines):
         if front:
             front = n == 0 or line.strip() != "---"
@@ -46,6 +55,8 @@ def _blocks(text: str) -> list[str]:
             continue
         bare = _bullet.sub("", line, count=2)
         text_part = bare.strip()
+        if len(_stop.findall(text_part)) >= MANY and _signs.search(text_part):
+            text_part = _without_code(text_part)
         if not text_part or _heading.match(line) or (_signs.search(text_part) and _codeish.search(text_part)) or _item.search(text_part):
             if run:
                 out.append(run)

@@ -160,6 +160,12 @@ def test_disguised_phrases(spark):
     forms = {r.rid: r.t for r in lookalike.one_form(df, "rid", "t").collect()}
     assert forms[8] is None and forms[7] == "saved cookie" and lookalike.one_form(df, "rid", "t").count() == 11
     assert lookalike.disguised_phrases(df, "rid", "t", phrases.limit(0), "pid", "p").count() == 0
+    assert sorted(map(tuple, lookalike.disguised_phrases(df, "rid", "t", phrases, "pid", "p", block=1).collect())) == [(2, 1), (3, 1), (7, 2), (10, 2)]
+    curly = spark.createDataFrame([(1, "don’t tell"), (2, "ｆｕｌｌ")], "pid long, p string")
+    plain = spark.createDataFrame([(1, "please don't tell it"), (2, "please don’t tell it"), (3, "full"), (4, "none")], "rid long, t string")
+    assert sorted(map(tuple, lookalike.disguised_phrases(plain, "rid", "t", curly, "pid", "p").collect())) == [(1, 1), (3, 2)]
+    many = curly.unionByName(spark.range(300).selectExpr("id + 9 pid", "concat('a’b', id) p"))
+    assert sorted(map(tuple, lookalike.disguised_phrases(plain, "rid", "t", many, "pid", "p").collect())) == [(1, 1), (3, 2)]
 
 
 def _item(rnd, n=60):
@@ -260,6 +266,12 @@ def test_prose():
     assert prose.sentences("") == [] and prose.sentences("\n \r\n") == []
 
 
+def test_prose_in_one_line():
+    line = "The cat is in the house. It uses `foo()` for that on the way. x = y[1]; is the code of it. See [the guide](https://a.test/b) for all of this."
+    assert [" ".join(x) for x in prose.sentences(line)] == ["the cat is in the house", "it uses for that on the way", "see the guide for all of this"]
+    assert len(prose.sentences("---\nThe cat is in the house. The dog is on the mat.")) == 2
+
+
 def test_reading_level_held_out(spark):
     rnd = random.Random(11)
     easy, hard = "cat dog box pen hat sun".split(), ["philosoph%d" % k for k in range(60)]
