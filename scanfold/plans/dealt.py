@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from scanfold.functions.keys import hash_key, rule_key
 from scanfold.operators import drift, flatten, ranged, seen
-from scanfold.session import small
+from scanfold.session import small, written
 from scanfold.sources.tables import table
 
 HOT_SHARE = 0.04  # p1: a rule is hot from this share of the distinct findings
-SEEN_BATCHES = 4  # p3: the arrivals come in so many batches
+SEEN_BATCHES, SEEN_FANOUT = 4, 2  # p3: the arrivals come in so many batches; so many runs are merged into one
 
 
 def _rule_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -26,9 +26,9 @@ def _rules(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Rules that hold at least 4 % of the distinct findings with a rule."""
-    counts = _rule_counts(spark, d)
-    share = counts.withColumn("total", F.sum("n_findings").over(ranged.Window.partitionBy(F.lit(1))))  # a row per rule
-    return share.where(F.col("n_findings") >= F.col("total") * HOT_SHARE).join(_rules(spark, d), "rule").select("rule_id")
+    counts = written(_rule_counts(spark, d), "rule-counts")  # a row per rule
+    total = counts.agg(F.sum("n_findings")).scalar()
+    return counts.where(F.col("n_findings") >= total * HOT_SHARE).join(_rules(spark, d), "rule").select("rule_id")
 
 
 def p1_rule_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -41,27 +41,32 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan_results").select(F.col("arrival_no").alias("no"), hash_key(F.col("content_hash")).alias("key"))
 
 
-def _observed(spark: SparkSession, d: str, hash_bits: int = 64) -> list[tuple[DataFrame, dict[str, int]]]:
-    store = seen.SeenStore(spark, hash_bits=hash_bits)
+def _observed(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict[str, int]]]:
+    """The rows seen before, and the counts of each batch. The last batches are probed against merged runs."""
+    store = seen.SeenStore(spark, SEEN_FANOUT)
     store.load(table(spark, d, "seen_hashes").select(hash_key(F.col("content_hash")).alias("key")))
-    return [store.observe(b) for b in seen.split_by_arrival(_arrivals(spark, d), "no", SEEN_BATCHES)]
+    out, counts = None, []
+    for batch in seen.split_by_arrival(_arrivals(spark, d), "no", SEEN_BATCHES):
+        answers, n = store.observe(batch)
+        out = answers if out is None else out.unionByName(answers)
+        counts.append(n)
+    store.close()
+    return out, counts
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose content hash came before."""
-    out = None
-    for answers, _ in _observed(spark, d):
-        out = answers if out is None else out.unionByName(answers)
-    return out.select(F.col("no").alias("arrival_no"))
+    return _observed(spark, d)[0].select(F.col("no").alias("arrival_no"))
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, keys and repeats, and the share of wrong answers against the first arrival of every key."""
-    answers = p3_found(spark, d).withColumn("seen", F.lit(True))
+    """Rows, keys and repeats, the share of wrong answers against the first arrival of every key, and the wrong hits of hashes alone."""
+    found, counts = _observed(spark, d)
+    answers = found.withColumn("seen", F.lit(True))
     rows = _arrivals(spark, d)
     before = table(spark, d, "seen_hashes").select(hash_key(F.col("content_hash")).alias("key")).where(F.col("key").isNotNull()).select("key", F.lit(-1).cast("long").alias("no"))
     first = rows.where(F.col("key").isNotNull()).unionByName(before.select("no", "key")).groupBy("key").agg(F.min("no").alias("no")).select("no", F.lit(True).alias("is_first"))
-    j = rows.join(answers.withColumnRenamed("arrival_no", "no"), "no", "left").join(first, "no", "left")
+    j = rows.join(answers, "no", "left").join(first, "no", "left")
     truth = F.col("key").isNotNull() & F.col("is_first").isNull()
     wrong = F.count_if(truth != F.coalesce("seen", F.lit(False)))
     return j.agg(
@@ -70,6 +75,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
         F.count("seen").alias("n_seen"),
         wrong.alias("n_wrong"),
         F.round(wrong / F.count("*"), 6).alias("wrong_share"),
+        F.lit(sum(n["hash_only_hits"] for n in counts)).cast("long").alias("n_hash_only"),
     )
 
 
@@ -204,7 +210,7 @@ with r as (select arrival_no, {_HASH} k from scan_results),
 s as (select distinct {_HASH} k from seen_hashes),
 m as (select k, min(arrival_no) first_no from r where k is not null group by k),
 seen as (select arrival_no from r join m using (k) where arrival_no > first_no or k in (select k from s))
-select (select count(*) from r) n_rows, (select count(k) from r) n_with_key, (select count(*) from seen) n_seen, cast(0 as bigint) n_wrong, cast(0 as double) wrong_share""",
+select (select count(*) from r) n_rows, (select count(k) from r) n_with_key, (select count(*) from seen) n_seen, cast(0 as bigint) n_wrong, cast(0 as double) wrong_share, cast(0 as bigint) n_hash_only""",
     "p4_found": _P4_FIELDS
     + """,
 w as (select *, lag(pos) over f prev_pos, lag(typ) over f prev_typ, lead(pos) over f next_pos from p window f as (partition by pack, field order by pos)),

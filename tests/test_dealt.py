@@ -1,6 +1,7 @@
 """p1, p3, p4 and p5 on hand-made rows: nulls, empty tables, ties, repeated rows, clashing columns."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def test_ranged_timeline_across_slices(spark):
     for n in (1, 3, 6):
         got = rows(ranged.ranged_timeline(df, "k", "t", "id", n))
         assert got == [("a", 5, 0, 1005 * 10**6, 980 * 10**6), ("b", 1, 3 * 10**6, 3 * 10**6, 0)]
+    null = spark.createDataFrame([(None, 1, "x"), (None, 1, "x"), (None, 5, "y"), ("z", 2, "q")], "k string, s long, id string").withColumn("t", F.timestamp_seconds("s"))
+    assert set(map(tuple, ranged.ranged_timeline(null, "k", "t", "id", 2).collect())) == {(None, 2, 10**6, 5 * 10**6, 4 * 10**6), ("z", 1, 2 * 10**6, 2 * 10**6, 0)}
+    assert ranged.ranged_timeline(null.limit(0), "k", "t", "id").count() == 0
+
+
+def test_ranged_timeline_shuffles_rows_once(spark):
+    """One exchange of rows by range; what follows moves a state per slice and key, also over batches of Arrow."""
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', 'k' || id % 7) k", "timestamp_seconds(id * id) t", "id")
+    out = ranged.ranged_timeline(df, "k", "t", "id", 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.index("MapInArrow") < plan.index("Exchange rangepartitioning")
+    assert plan[plan.index("MapInArrow") :].count("Exchange") == 1
+    hot = next(r for r in out.collect() if r.k == "hot")
+    assert (hot.n_rows, hot.longest_pause_us) == (20_000, (59_997**2 - 59_994**2) * 10**6)
 
 
 @pytest.mark.parametrize("bits", [64, 3])
@@ -60,7 +75,7 @@ def test_seen_store_matches_brute_force(spark, bits):
                 want.append(no)
             before.add(key)
     df = spark.createDataFrame(data, "no long, key string")
-    store = seen.SeenStore(spark, buckets=3, fanout=2, hash_bits=bits)
+    store = seen.SeenStore(spark, fanout=2, hash_bits=bits)
     store.load(spark.createDataFrame([(k,) for k in known] + [(None,)], "key string"))
     got, counts = [], []
     for b in seen.split_by_arrival(df, "no", 5):
@@ -68,10 +83,34 @@ def test_seen_store_matches_brute_force(spark, bits):
         got += [r[0] for r in answers.collect()]
         counts.append(n)
     assert sorted(got) == want
-    assert len(store.runs) < 5 and store.retired
+    assert len(store.runs) < 4 and max(r.level for r in store.runs) > 1
     assert (sum(n["hash_only_hits"] for n in counts) > 0) == (bits == 3)
     empty, n = store.observe(df.limit(0))
     assert empty.count() == 0 and n["keys"] == 0
+    paths = [r.path.removeprefix("file:") for r in store.runs]
+    assert all(os.path.isdir(p) for p in paths)
+    store.close()
+    assert not any(os.path.isdir(p) for p in paths) and sorted(got) == want
+
+
+def test_seen_reads_only_what_fences_meet(spark):
+    store = seen.SeenStore(spark, block_rows=2_000, group_bytes=20_000)
+    store.load(spark.range(64_000).selectExpr("sha2(cast(id as string), 256) key"))
+    blocks = 1 << store.runs[0].bits
+    assert blocks == 32
+    batch = spark.range(5).selectExpr("id no", "sha2(cast(if(id < 3, id * 1000, -id) as string), 256) key")
+    answers, n = store.observe(batch)
+    assert sorted(r[0] for r in answers.collect()) == [0, 1, 2] and n == {"keys": 5, "key_hits": 3, "hash_only_hits": 0}
+    assert store.blocks_read.value <= 5 < blocks and store.groups_read.value <= 5 < store.groups_met.value
+    assert [r.level for r in store.runs] == [3, 0]
+
+
+def test_seen_probe_moves_no_run(spark):
+    store = seen.SeenStore(spark)
+    store.load(spark.range(500).selectExpr("cast(id as string) key"))
+    firsts = spark.range(20).select(F.xxhash64(F.col("id").cast("string")).alias("h"), F.col("id").cast("string").alias("key"), F.col("id").alias("first_no"))
+    plan = store.probe(firsts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def _records(spark, packs):
