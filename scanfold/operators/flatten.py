@@ -73,23 +73,88 @@ def entries(v: Column) -> Column:
     return F.coalesce(*of(v), *of(inner_json(v)))
 
 
-def children(nodes: DataFrame, of: Column, path: str) -> DataFrame:
-    """The child nodes (label, v, path) of nodes (label, v): one per non-null item of ``of``.
+def value_kind(v: Column) -> Column:
+    """string, number, boolean, null, list or object; null for no value."""
+    t = F.schema_of_variant(v)
+    kind = F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "object")
+    return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").otherwise(F.coalesce(kind, F.lit("number")))
 
-    Null items take a position and give no node.
+
+def below(v: Column, unpack: bool) -> Column:
+    """The values below a member in order: a list's items, any other value as the only one; with ``unpack`` also those inside a string."""
+    lone = F.when(v.isNotNull(), F.array(v))
+    return F.coalesce(items(v), lone) if unpack else F.coalesce(as_list(v), lone)
+
+
+def _children(of: Column, path: Column, label: Column, names: list[str] | None, unpack: bool) -> Column:
+    """array<struct<label, path, v>> of the nodes below a value."""
+    listed = F.when(as_list(of).isNotNull(), F.array(F.struct(F.lit("").alias("key"), of.alias("value"))))  # a list in a list
+    pairs = F.coalesce(F.map_entries(as_map(of)), listed) if names is None else F.array(*[F.struct(F.lit(n).alias("key"), member(of, n).alias("value")) for n in names])
+    at = lambda m: F.concat(path, F.when(m["key"] != "", F.concat(F.lit("."), m["key"])).otherwise(""))
+    nodes = lambda m: F.transform(F.coalesce(below(m["value"], unpack), F.array().cast("array<variant>")), lambda x, i: F.struct(F.concat_ws(".", label, i).alias("label"), at(m).alias("path"), x.alias("v")))
+    return F.flatten(F.transform(F.coalesce(pairs, F.array().cast("array<struct<key string, value variant>>")), nodes))
+
+
+def children(nodes: DataFrame, names: list[str] | None = None, unpack: bool = True) -> DataFrame:
+    """The child nodes (label, path, v) of nodes (label, path, v), below the members of these names, or below all.
+
+    A list's items and a lone value are labelled by their position; null items take a position and give no node. With ``unpack``
+    an object or a list inside a string counts as such.
     """
     # the plain form would add a filter on the list, and with it build the list twice
-    deep = nodes.select("label", F.posexplode_outer(items(of)).alias("__i", "__v")).where(as_map(F.col("__v")).isNotNull())
-    return deep.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("__v").alias("v"), F.lit(path).alias("path"))
+    deep = nodes.select(F.explode_outer(_children(F.col("v"), F.col("path"), F.col("label"), names, unpack)).alias("c")).select("c.*")
+    return deep.where(F.col("v").isNotNull() & ~F.coalesce(F.is_variant_null("v"), F.lit(True)))
+
+
+def objects(nodes: DataFrame) -> DataFrame:
+    """The nodes that are objects; an object inside a string is taken out of it."""
+    v = F.col("v")
+    return nodes.withColumn("v", F.when(as_map(v).isNotNull(), v).otherwise(inner_json(v))).where(as_map(F.col("v")).isNotNull())
+
+
+def max_depth(df: DataFrame, payload: str) -> int:
+    """How deep brackets are nested in any payload, counting those inside strings: a bound of the depth of its tree."""
+    marks = F.regexp_replace(payload, r"[^\[\]{}]+", "")
+    step = lambda acc, c: F.when(c.isin("[", "{"), acc["now"] + 1).otherwise(acc["now"] - 1)
+    deep = F.aggregate(
+        F.split(marks, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda acc, c: F.struct(step(acc, c).alias("now"), F.greatest(acc["top"], step(acc, c)).alias("top")),
+        lambda acc: acc["top"],
+    )
+    return df.agg(F.max(deep)).first()[0] or 0
+
+
+def tree(roots: DataFrame, depth: int, unpack: bool = False) -> DataFrame:
+    """(path, label, parent, kind, value): every node of the trees under nodes (label, path, v), down to ``depth``.
+
+    Nodes are objects, items and single values; a list is no node of its own. ``value`` is a single value's JSON, and JSON of what
+    lies deeper than ``depth``. Grouped by ``path`` the nodes are the flat tables of the schema. One chain of projections: a step
+    takes the newest nodes apart and passes the others on, so nothing is parsed or read twice.
+    """
+    now = roots.select("label", "path", "v", F.lit(True).alias("open"))
+    old = F.struct("label", "path", "v", F.lit(False).alias("open"))
+    for _ in range(depth):
+        new = F.transform(_children(F.col("v"), F.col("path"), F.col("label"), None, unpack), lambda c: F.struct(c["label"], c["path"], c["v"], F.lit(True).alias("open")))
+        kind = value_kind(F.col("v"))
+        me = F.when(kind == "list", F.array().cast("array<struct<label string, path string, v variant, open boolean>>")).otherwise(F.array(old))
+        both = F.when(F.col("open") & kind.isin("object", "list"), F.concat(me, new)).otherwise(F.array(old))
+        now = now.select(F.explode(both).alias("n")).select("n.*")
+    kind = value_kind(F.col("v"))
+    deeper = F.col("open") & kind.isin("object", "list")
+    return now.where(kind != "null").select("path", "label", parent(F.col("label")).alias("parent"), kind.alias("kind"), F.when(deeper | ~kind.isin("object", "list"), F.to_json("v")).alias("value"))
 
 
 def records(df: DataFrame, record_id: str, payload: str, wrappers: list[str]) -> DataFrame:
-    """The record nodes: label is the id. Null ids, and null, blank and cut off payloads give none; redelivered ids one."""
+    """The record nodes (label, path, v): label is the id. Null ids, and null, blank and cut off payloads give none.
+
+    Of several payloads of one id that parse the longest counts, of equally long ones that of the largest hash.
+    """
     one = df.select(F.col(record_id).cast("string").alias("label"), F.col(payload).alias("__p")).where(F.col("label").isNotNull() & F.col("__p").isNotNull())
     # an explode of one value keeps the planner from repeating the parse in every later expression
-    parsed = one.dropDuplicates(["label"]).select("label", F.explode(F.array(F.try_parse_json("__p"))).alias("v")).where(F.col("v").isNotNull())
-    inner = parsed.select("label", F.explode(F.array(unwrapped(F.col("v"), wrappers))).alias("v"))
-    return inner.where(as_map(F.col("v")).isNotNull()).withColumn("path", F.lit("report"))
+    parsed = one.select("label", F.struct(F.length("__p"), F.xxhash64("__p")).alias("__o"), F.explode(F.array(F.try_parse_json("__p"))).alias("v")).where(F.col("v").isNotNull())
+    best = parsed.groupBy("label").agg(F.max_by("v", "__o").alias("v"))
+    return best.select("label", F.lit("$").alias("path"), F.explode(F.array(unwrapped(F.col("v"), wrappers) if wrappers else F.col("v"))).alias("v"))
 
 
 def location_line(v: Column) -> Column:
@@ -165,14 +230,15 @@ def scan_report_tables(raw: DataFrame, record_id: str = "raw_id", payload: str =
     Each has ``label``, its key within the table; the label of the row it belongs to is ``parent`` of it. ``v`` is
     the node itself, from which ``flat`` and ``flat_locations`` take its columns.
     """
-    top = records(raw, record_id, payload, ["data", "report"])
-    components = children(top, member(F.col("v"), "components"), "report.components")
-    results = children(top, member(F.col("v"), "results"), "report.results")
-    findings = children(results, member(F.col("v"), "findings"), "report.results.findings")
-    locations = findings.select(F.concat_ws(".", "label", F.lit("0")).alias("label"), member(F.col("v"), "location").alias("v"))
-    meta = findings.select("label", F.posexplode_outer(entries(member(F.col("v"), "metadata"))).alias("__i", "e")).where(F.col("e").isNotNull())
-    meta = meta.select(F.concat_ws(".", "label", "__i").alias("label"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
+    top = objects(records(raw, record_id, payload, ["data", "report"]))
+    components = objects(children(top, ["components"]))
+    results = objects(children(top, ["results"]))
+    findings = objects(children(results, ["findings"]))
+    # a finding has one location, in whatever form it is given
+    locations = findings.select(F.concat_ws(".", "label", F.lit("0")).alias("label"), F.concat("path", F.lit(".location")).alias("path"), member(F.col("v"), "location").alias("v"))
     locations = locations.where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    meta = findings.select("label", "path", F.posexplode_outer(entries(member(F.col("v"), "metadata"))).alias("__i", "e")).where(F.col("e").isNotNull())
+    meta = meta.select(F.concat_ws(".", "label", "__i").alias("label"), F.concat("path", F.lit(".metadata")).alias("path"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
     return {"reports": top, "components": components, "results": results, "findings": findings, "locations": locations, "metadata": meta}
 
 

@@ -163,7 +163,18 @@ def p5_locations(spark: SparkSession, d: str) -> DataFrame:
     return _report_rows(spark, d, "locations")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p5_found, p5_reports, p5_components, p5_results, p5_results_whole, p5_findings, p5_findings_whole, p5_locations, p5_metadata)}
+def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of every payload as it stands, whatever its schema: flat tables by path."""
+    roots = flatten.records(table(spark, d, "raw_reports"), "raw_id", "payload", [])
+    return flatten.tree(roots, flatten.max_depth(table(spark, d, "raw_reports"), "payload")).select("path", "label", "parent", "kind", F.when(F.col("kind") != "number", F.col("value")).alias("value"))
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of the payloads' schema: their paths, kinds of nodes and numbers of rows and parents."""
+    return p5_nodes(spark, d).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("parent").alias("n_parents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_nodes, p5_paths, p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p5_found, p5_reports, p5_components, p5_results, p5_results_whole, p5_findings, p5_findings_whole, p5_locations, p5_metadata)}
 
 _RULE = r"""
   case when regexp_matches(upper(trim({c}, chr(9) || chr(10) || chr(13) || chr(32))), '^[A-Z]+[^A-Z0-9]*[0-9]+$')
@@ -190,6 +201,15 @@ r as (select raw_id, i - 1 result_pos, json_extract(r, '$[' || (i - 1) || ']') v
 fs as (select raw_id, result_pos, case when json_type(v, '$.findings') = 'VARCHAR' then json(json_extract_string(v, '$.findings')) else json_extract(v, '$.findings') end f from r),
 fl as (select raw_id, result_pos, case json_type(f) when 'ARRAY' then f when 'OBJECT' then json_array(f) end f from fs),
 f as (select raw_id, result_pos, i - 1 finding_pos, json_extract(f, '$[' || (i - 1) || ']') v from fl, range(1, json_array_length(f)::bigint + 1) t(i))"""
+# labels from the path: an item is its number, any other member 0
+_TREE = r"""
+with one as (select raw_id, arg_max(payload, length(payload)) j from raw_reports where json_valid(payload) and raw_id is not null group by raw_id),
+t as (select raw_id, t.* from one, json_tree(one.j::json) t),
+l as (select *, regexp_replace(regexp_replace(fullkey, '\[[0-9]+\]', '', 'g'), '"', '', 'g') p,
+      replace(replace(replace(replace(regexp_replace(substr(fullkey, 2), '\.("[^"]*"|[^.\[]+)', '#', 'g'), '#[', '['), '#', '.0'), '[', '.'), ']', '') s from t where type not in ('ARRAY', 'NULL')),
+n as (select p as path, raw_id || s as "label", case when s <> '' then regexp_replace(raw_id || s, '\.[^.]*$', '') end parent,
+      case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' else 'number' end kind, case when type in ('VARCHAR', 'BOOLEAN') then atom::varchar end "value" from l)
+"""
 ORACLE = {
     "p1_found": f"""
 with f as (select distinct finding_id, {_RULE.format(c="rule_id")} rule from findings where finding_id is not null),
@@ -232,6 +252,17 @@ union all select pack, release_no, nf, 'added', '' from starts s where not exist
     + """,
 i as (select *, pos - row_number() over (partition by pack, field, typ order by pos) island from p)
 select pack, field, typ "type", min(release_no) first_release, max(release_no) last_release, count(*) releases from i group by pack, field, typ, island""",
+    "p5_nodes": _TREE + "select path, label, parent, kind, value from n",
+    "p5_paths": _TREE + "select path, kind, count(*) n, count(distinct parent) n_parents from n group by all",
+    "p5_metadata": _P5
+    + r""",
+m as (select raw_id || '.' || result_pos || '.' || finding_pos parent, case when json_type(v, '$.metadata') = 'VARCHAR' then json(json_extract_string(v, '$.metadata')) else json_extract(v, '$.metadata') end m from f where json_type(v) = 'OBJECT'),
+o as (select parent, m, list_sort(json_keys(m)) ks from m where json_type(m) = 'OBJECT'),
+e as (select parent, i - 1 pos, ks[i] "key", json_extract(m, '$."' || ks[i] || '"') v from o, range(1, len(ks)::bigint + 1) t(i)),
+a as (select parent, list_filter(json_extract(m, '$[*]'), lambda x: json_extract_string(x, '$.key') is not null) xs from m where json_type(m) = 'ARRAY'),
+l as (select parent, i - 1 pos, json_extract_string(xs[i], '$.key') "key", json_extract(xs[i], '$.value') v from a, range(1, len(xs)::bigint + 1) t(i)),
+b as (select * from e union all select * from l)
+select parent || '.' || pos as "label", parent, "key", v::varchar "value" from b""",
     "p5_found": _P5
     + r""",
 m as (select raw_id, result_pos, finding_pos,

@@ -206,6 +206,34 @@ def test_flatten_forms(spark):
     assert flatten.scan_report_tables(df.limit(0))["metadata"].count() == 0
 
 
+def test_flatten_keeps_the_delivery_that_parses(spark):
+    whole = json.dumps({"results": [{"path": "p", "findings": [{"rule_id": "r"}]}]})
+    for rows_ in ([(1, whole[:-7]), (1, whole)], [(1, whole), (1, whole[:-7])], [(1, None), (1, whole), (1, "")]):
+        t = flatten.scan_report_tables(spark.createDataFrame(rows_, "raw_id long, payload string").coalesce(1))
+        assert rows(t["findings"].select("label")) == [("1.0.0",)]
+    two = [(2, '{"results": []}'), (2, whole)]
+    for order in (two, two[::-1]):
+        assert flatten.scan_report_tables(spark.createDataFrame(order, "raw_id long, payload string"))["results"].count() == 1
+
+
+def test_tree_of_any_records(spark):
+    x = {"a": {"b": [{"c": 1}, None, {"c": [True, "t"]}], "e": {}}, "f": [[1, 2], [{"g": "h"}]], "n": None, "s": '{"k": [7]}'}
+    df = spark.createDataFrame([(9, json.dumps(x)), (8, "[5]"), (7, "{"), (6, None)], "id long, payload string").withColumn("label", F.lit("clash"))
+    roots = flatten.records(df, "id", "payload", [])
+    depth = flatten.max_depth(df, "payload")
+    got = {(r.path, r.label): (r.parent, r.kind, r.value) for r in flatten.tree(roots, depth).collect()}
+    want = {
+        ("$", "9"): (None, "object", None), ("$.a", "9.0"): ("9", "object", None), ("$.a.b", "9.0.0"): ("9.0", "object", None), ("$.a.b", "9.0.2"): ("9.0", "object", None), ("$.a.b.c", "9.0.0.0"): ("9.0.0", "number", "1"),
+        ("$.a.b.c", "9.0.2.0"): ("9.0.2", "boolean", "true"), ("$.a.b.c", "9.0.2.1"): ("9.0.2", "string", '"t"'), ("$.a.e", "9.0.0"): ("9.0", "object", None), ("$.f", "9.0.0"): ("9.0", "number", "1"), ("$.f", "9.0.1"): ("9.0", "number", "2"),
+        ("$.f", "9.1.0"): ("9.1", "object", None), ("$.f.g", "9.1.0.0"): ("9.1.0", "string", '"h"'), ("$.s", "9.0"): ("9", "string", json.dumps(x["s"])), ("$", "8.0"): ("8", "number", "5"),
+    }
+    assert got == want and depth == 5
+    assert ("$.s.k", "9.0.0", "7") in {(r.path, r.label, r.value) for r in flatten.tree(roots, depth, unpack=True).collect()}
+    cut = {(r.path, r.value) for r in flatten.tree(roots, 1).collect()}
+    assert ("$.a", json.dumps(x["a"], separators=(",", ":"))) in cut
+    assert flatten.tree(flatten.records(df.limit(0), "id", "payload", []), flatten.max_depth(df.limit(0), "payload")).count() == 0
+
+
 def test_flatten_keeps_every_field(spark):
     finding = {"rule_id": "R", "title": "t", "severity": "high", "category": "c", "snippet": "s", "remediation": "r", "extra": [1]}
     places = [{"file": "f", "start_line": "5", "end_line": 6, "start_column": 1, "end_column": 9, "odd": True}, "a:b.py:7:3", "c.py", json.dumps({"file": "g", "start_line": 8}), [1, 2], None]
