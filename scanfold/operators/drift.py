@@ -37,13 +37,17 @@ def record_fields(records: DataFrame, record_no: str, producer: str, release: st
 
     ``rec`` is a key made up for the record, with or without a number, ``rid`` is the record's own key, the value of its field ``key``. Values are JSON text; a list
     of one value has that value's text in ``same_as``, any other value its own. Redelivered records
-    (same ``record_no``) count once, records without a number each. Records that are null, blank, cut off or no object give no row.
+    (same ``record_no``) count once, by the longest delivery that parses, records without a number each. Records that are null,
+    blank, cut off or no object give no row.
     """
     r = records.select(F.col(record_no).alias("record_no"), F.col(producer).alias("producer"), F.col(release).alias("release"), F.col(record).alias("__r"))
     r = r.where(F.col("producer").isNotNull() & F.col("release").isNotNull())
-    r = r.where(F.col("record_no").isNotNull()).dropDuplicates(["record_no", "producer", "release"]).unionByName(r.where(F.col("record_no").isNull()))
-    fields = F.try_variant_get(F.try_parse_json("__r"), "$", "map<string,variant>")
-    r = r.select("record_no", "producer", "release", fields.alias("__f")).where(F.col("__f").isNotNull())
+    # an explode of one value keeps the planner from repeating the parse in every later expression
+    r = r.select("record_no", "producer", "release", F.struct(F.length("__r"), F.xxhash64("__r")).alias("__o"), F.explode(F.array(F.try_parse_json("__r"))).alias("__v"))
+    r = r.where(F.schema_of_variant("__v").startswith("OBJECT"))
+    numbered = r.where(F.col("record_no").isNotNull()).groupBy("record_no", "producer", "release").agg(F.max_by("__v", "__o").alias("__v"))
+    r = numbered.unionByName(r.where(F.col("record_no").isNull()).drop("__o"))
+    r = r.select("record_no", "producer", "release", F.try_variant_get("__v", "$", "map<string,variant>").alias("__f"))
     r = r.withColumn("rec", F.monotonically_increasing_id())  # fixed by the write below
     r = r.select("record_no", "producer", "release", "rec", F.to_json(F.element_at("__f", F.lit(key))).alias("rid"), F.explode_outer("__f").alias("field", "__v"))
     r = r.withColumn("type", json_type(F.col("__v"))).where(F.col("type").isNotNull())
@@ -112,13 +116,13 @@ def changes(fields: DataFrame, foot: DataFrame | None = None) -> DataFrame:
     log = written(step.select("producer", "field", "type", F.explode(F.array_compact(F.array(start, end, retyped))).alias("e")).select("producer", "field", "type", "e.*"), "lifespans")
     starts = log.where("what = 'start'").select("producer", F.col("at").alias("release"), F.col("field").alias("new_field"), F.col("type").alias("new_type"))
     ends = log.where("what = 'end'").select("producer", F.col("at").alias("release"), F.col("was").alias("old_release"), F.col("field").alias("old_field"), F.col("type").alias("old_type"))
-    before = fields.select("producer", F.col("release").alias("old_release"), F.col("field").alias("old_field"), "rid", F.col("same_as").alias("old_value"))
-    after = fields.select("producer", "release", F.col("field").alias("new_field"), "rid", F.col("same_as").alias("new_value"))
+    # the log is sent to the records; what is shuffled is spread by record key, and no field or release is one task's
+    before = fields.where(F.col("rid").isNotNull()).select("producer", F.col("release").alias("old_release"), F.col("field").alias("old_field"), "rid", F.col("same_as").alias("old_value"))
+    before = before.join(small(ends), ["producer", "old_release", "old_field"]).select("producer", "release", "rid", "old_field", "old_type", "old_value")
+    after = fields.where(F.col("rid").isNotNull()).select("producer", "release", F.col("field").alias("new_field"), "rid", F.col("same_as").alias("new_value"))
+    after = after.join(small(starts), ["producer", "release", "new_field"]).select("producer", "release", "rid", "new_field", "new_type", "new_value")
     agree = (
-        ends.join(starts, ["producer", "release"])  # a few fields of one release
-        .join(before, ["producer", "old_release", "old_field"])
-        .join(after, ["producer", "release", "new_field", "rid"])
-        .where(F.col("rid").isNotNull())
+        before.join(after, ["producer", "release", "rid"])
         .groupBy("producer", "release", "old_field", "new_field", "old_type", "new_type")
         .agg(F.count("*").alias("both"), F.count_if(F.col("old_value") == F.col("new_value")).alias("same"))
         .where(F.col("same") * 2 > F.col("both"))

@@ -180,6 +180,13 @@ def test_drift_table_keeps_every_value(spark):
     assert sorted(r.id for r in t.where("producer = 'c'").collect()) == ["7", "8"]
 
 
+def test_drift_keeps_the_delivery_that_parses(spark):
+    cut, whole = '{"id": "1", "pattern": "a', '{"id": "1", "pattern": "a"}'
+    for order in ([cut, whole], [whole, cut], [None, whole, ""]):
+        raw = spark.createDataFrame([(5, "p", 1, x) for x in order], "record_no long, pack string, release_no int, record string").coalesce(1)
+        assert rows(drift.record_fields(raw, "record_no", "pack", "release_no", "record", "id").select("field", "value")) == [("id", '"1"'), ("pattern", '"a"')]
+
+
 def test_flatten_forms(spark):
     m = {"a": 1, "b": None}
     finding = lambda meta, loc: {"rule_id": "R", "metadata": meta, "location": loc}
