@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions.text import is_printable
+from scanfold.operators import places
 from scanfold.session import spread, written
 
 # What an encoded piece looks like, in the order in which an offset is claimed.
@@ -81,30 +82,26 @@ def layer(df: DataFrame, row_id: str, text: str) -> DataFrame:
     At each offset the first encoding in order counts. Decoded base64, hex and percent escapes must be mostly
     printable. Null texts have none. Repeated rows give repeated pieces.
     """
-    out = None
     src = df.select(F.col(row_id).alias("__id"), F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    for k, (name, pattern) in enumerate(ENCODINGS.items()):
-        part = _pieces(src.where(F.col("__t").rlike(pattern)), name, pattern).withColumn("__k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    first = out.groupBy("__id", "byte_offset").agg(F.min_by(F.struct("encoding", "original", "decoded"), "__k").alias("x"))
+    kinds = [F.when(F.col("__t").rlike(p), F.struct(F.lit(k).alias("k"), F.lit(n).alias("encoding"), F.lit(p).alias("p"))) for k, (n, p) in enumerate(ENCODINGS.items())]
+    # the texts are read once, and a row made for each encoding that one holds
+    some = src.select("__id", "__t", F.explode_outer(F.array_compact(F.array(*kinds))).alias("e")).where(F.col("e").isNotNull())
+    cut = some.select("__id", "e.k", "e.encoding", F.regexp_extract_all("__t", F.col("e.p"), F.lit(0)).alias("__m"), F.split("__t", F.col("e.p"), -1).alias("__g"))
+    quoted = F.col("encoding").isin(*QUOTED)
+    piece = places.placed(cut, "__m", "__g", None).select(
+        "__id",
+        "k",
+        "encoding",
+        (F.col("byte_offset") + quoted.cast("int")).alias("byte_offset"),
+        F.when(quoted, F.substr("matched", F.lit(2), F.length("matched") - 2)).otherwise(F.col("matched")).alias("original"),
+    )
+    # the explode of one value keeps the decoding from being repeated
+    piece = piece.select("*", F.explode(F.array(by_name(F.col("encoding"), F.col("original")))).alias("decoded")).where(F.col("decoded").isNotNull())
+    piece = piece.where(~F.col("encoding").isin("base64", "hex", "url-encoded") | is_printable(F.col("decoded")))
+    first = piece.groupBy("__id", "byte_offset").agg(F.min_by(F.struct("encoding", "original", "decoded"), "k").alias("x"))
     return first.select(F.col("__id").alias(row_id), "x.encoding", "byte_offset", "x.original", "x.decoded")
 
 
-def _pieces(src: DataFrame, name: str, pattern: str) -> DataFrame:
-    quote = 1 if name in QUOTED else 0
-    m = src.withColumns({"__m": F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)), "__g": F.split("__t", pattern, -1)})
-    before = F.transform(F.sequence(F.lit(0), F.size("__m") - 1), lambda i: _length(F.slice("__g", 1, i + 1)) + _length(F.slice("__m", 1, i)))
-    e = m.where(F.size("__m") > 0).select("__id", F.explode(F.arrays_zip(F.col("__m").alias("m"), before.alias("at"))).alias("e"))
-    piece = F.expr("substring(e.m, 2, length(e.m) - 2)") if quote else F.col("e.m")
-    e = e.select("__id", F.lit(name).alias("encoding"), (F.col("e.at") + quote).cast("long").alias("byte_offset"), piece.alias("original"))
-    e = e.withColumn("decoded", decode(name, F.col("original"))).where(F.col("decoded").isNotNull())
-    return e.where(is_printable(F.col("decoded"))) if name in ("base64", "hex", "url-encoded") else e
-
-
-def _length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.octet_length(x))
-
-
 ANY_PIECE = "|".join(f"(?:{p})" for p in ENCODINGS.values())
 
 

@@ -12,89 +12,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions import text as T
+from scanfold.operators import places
 from scanfold.rules import Pattern, java_pattern
 from scanfold.session import spread
 
 DOC_EXTENSIONS = ["md", "txt", "rst", "adoc"]
 CAP_EXEMPT = ("INJECT-", "AUTH-", "HIDDEN-", "MDCODE-")
-CONTEXT_BYTES = 50
 MAX_SCAN_BYTES = 10 << 20
 GROUP = 60  # patterns in one expression: larger ones exceed what the JVM compiles
 
 
-def _candidates(patterns: list[Pattern], text: Column, low: Column, ext: Column, name: Column) -> Column:
-    """array<int> of the patterns that could match the row."""
-    parts = []
-    by_files: dict[tuple, list[tuple[int, Pattern]]] = {}
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+def _candidates(patterns: list[Pattern]) -> str:
+    """array<int> of the patterns that could match a row with the columns __t, __low, __ext and __name.
+
+    One SQL text: as an expression put together piece by piece it would cost the driver a second.
+    """
+    by_files: dict[tuple, list[str]] = {}
     for k, p in enumerate(patterns):
-        by_files.setdefault((p.extensions, p.names), []).append((k, p))
+        holds = " AND ".join(f"contains({'__t' if p.exact else '__low'}, {_quoted((x,))})" for x in p.literals)
+        by_files.setdefault((p.extensions, p.names), []).append(f"CASE WHEN {holds or 'true'} THEN {k} END")
+    parts = []
     for (exts, names), group in by_files.items():
-        applies = (ext.isin(*exts) if exts else F.lit(True)) & (name.isin(*names) if names else F.lit(True))
+        applies = " AND ".join(f"{c} IN ({_quoted(v)})" for c, v in (("__ext", exts), ("__name", names)) if v) or "true"
         for a in range(0, len(group), GROUP):
-            some = [F.when(_holds(p, text, low), k) for k, p in group[a : a + GROUP]]
-            parts.append(F.when(applies, F.array_compact(F.array(*some))).otherwise(F.array().cast("array<int>")))
-    return F.flatten(F.array(*parts)) if parts else F.array().cast("array<int>")
-
+            parts.append(f"CASE WHEN {applies} THEN array_compact(array({', '.join(group[a : a + GROUP])})) ELSE CAST(array() AS array<int>) END")
+    return f"flatten(array({', '.join(parts)}))" if parts else "CAST(array() AS array<int>)"
 
-def _holds(p: Pattern, text: Column, low: Column) -> Column:
-    out = F.lit(True)
-    for x in p.literals:
-        out = out & (text if p.exact else low).contains(x)
-    return out
 
-
-def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, path: str) -> DataFrame:
-    """(row_id, path, rule_id, pattern_no, match_no, matched, byte_offset, end_offset, line, col, end_line, snippet).
+def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, path: str, max_bytes: int = MAX_SCAN_BYTES) -> DataFrame:
+    """(row_id, path, rule_id, title, rule_rank, pattern_no, match_no, matched, byte_offset, end_offset, line, col, end_line, snippet).
 
     Every non-overlapping match of every pattern, in order, less those whose matched text alone an exclude pattern
-    matches. Null and empty texts, and those over 10 MiB, have none. Offsets count bytes, lines and columns from 1.
+    matches. Null and empty texts have none. Texts of more than ``max_bytes`` aren't scanned, which ``results`` reports.
+    Offsets count bytes, lines and columns from 1.
     """
     spark = files.sparkSession
     rows = [(k, p.rule_id, p.pattern_no, java_pattern(p.pattern), list(map(java_pattern, p.excludes)), p.severity_rank, p.title) for k, p in enumerate(patterns)]
     table = spark.createDataFrame(rows, "__k int, rule_id string, pattern_no int, __p string, __x array<string>, rule_rank int, title string")
-    src = files.select(F.col(row_id).alias("__id"), F.col(path).alias("__path"), F.col(text).alias("__t")).where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= MAX_SCAN_BYTES))
-    src = spread(src)
+    src = files.select(F.col(row_id).alias("__id"), F.col(path).alias("__path"), F.col(text).alias("__t")).where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= max_bytes))
     low = F.lower("__t") if any(not p.exact for p in patterns) else F.col("__t")
-    hit = src.withColumn("__c", _candidates(patterns, F.col("__t"), low, T.extension(F.col("__path")), F.lower(T.file_name(F.col("__path")))))
+    src = spread(src).withColumns({"__low": low, "__ext": T.extension(F.col("__path")), "__name": F.lower(T.file_name(F.col("__path")))})
+    hit = src.withColumn("__c", F.expr(_candidates(patterns)))
     # explode would add a filter on the list, and with it build the list twice
     pairs = hit.select("__id", "__path", "__t", F.explode_outer("__c").alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # a row per pattern, at most MAX_RULES rules
-    found = pairs.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0)
-    gaps = F.split("__t", F.col("__p"), -1)
-    # lengths of gap 0, match 0, gap 1, match 1, ...: their running sum is where each match begins
-    found = found.withColumn("__g", gaps)
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("__m") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get("__g", i)) + F.length(F.get("__m", i))).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(F.get("__g", i)))).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
-    each = found.withColumn("__s", starts).select("__id", "__path", "__t", "rule_id", "pattern_no", "rule_rank", "title", "__x", F.posexplode(F.arrays_zip("__m", "__s")).alias("match_no", "e"))
-    each = each.withColumns({"matched": F.col("e.__m"), "__at": F.col("e.__s")}).where(~F.exists("__x", lambda x: F.regexp_like("matched", x)))
-    prefix = F.substring("__t", F.lit(1), F.col("__at"))
-    each = each.withColumn("__pre", prefix)
-    each = each.withColumns({"byte_offset": F.octet_length("__pre").cast("long")}).withColumn("end_offset", F.col("byte_offset") + F.octet_length("matched"))
-    return each.select(
-        F.col("__id").alias(row_id),
-        F.col("__path").alias(path),
-        "rule_id",
-        "title",
-        "rule_rank",
-        "pattern_no",
-        "match_no",
-        "matched",
-        "byte_offset",
-        "end_offset",
-        T.line_of(F.col("__pre")).alias("line"),
-        T.column_of(F.col("__pre")).alias("col"),
-        T.line_of(F.concat("__pre", "matched")).alias("end_line"),
-        snippet(F.col("__t"), F.col("byte_offset"), F.col("end_offset")).alias("snippet"),
-    )
-
-
-def snippet(text: Column, start: Column, end: Column, around: int = CONTEXT_BYTES) -> Column:
-    """The text from ``around`` bytes before to as many after, widened to whole characters.
+    found = pairs.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0).withColumn("__g", F.split("__t", F.col("__p"), -1))
+    each = places.placed(found.select("__id", "__path", "rule_id", "title", "rule_rank", "pattern_no", "__x", "__m", "__g"), "__m", "__g")
+    return each.where(~F.exists("__x", lambda x: F.regexp_like("matched", x))).drop("__x").withColumnsRenamed({"__id": row_id, "__path": path})
+
+
+def results(files: DataFrame, row_id: str, text: str, path: str, max_bytes: int = MAX_SCAN_BYTES) -> DataFrame:
+    """(row_id, path, content_hash, n_bytes, scanned): one row for each file, also for those too large to be scanned, which have no hash."""
+    n = F.octet_length(text)
+    small_enough = F.coalesce(n <= max_bytes, F.lit(True))
+    return files.select(row_id, path, F.when(small_enough, F.sha2(F.coalesce(text, F.lit("")), 256)).alias("content_hash"), F.coalesce(n, F.lit(0)).alias("n_bytes"), small_enough.alias("scanned"))
+
+
+def snippet(text: Column, start: Column, end: Column, around: int = places.CONTEXT_BYTES) -> Column:
+    """One match's snippet as an expression: the text from ``around`` bytes before to as many after, widened to whole characters.
 
     `...` stands where it is clipped, a line feed is shown as the two characters ``\\n``.
     """

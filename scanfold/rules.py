@@ -67,8 +67,8 @@ def select_rules(rules: DataFrame, source: str | None = None, author: str | None
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern as Java must read it: Unicode classes, `.` that stops at line feeds only, `$` at the very end."""
-    out, in_class, k = [], False, 0
+    """The pattern as Java must read it: Unicode classes, `.` that stops at line feeds only, `$` at the very end, or before line feeds under `m`."""
+    out, in_class, k, lines = [], False, 0, [False]  # is `m` on, for each group that is open
     while k < len(pattern):
         c = pattern[k]
         if c == "\\" and k + 1 < len(pattern):
@@ -79,10 +79,21 @@ def java_pattern(pattern: str) -> str:
             in_class = True
         elif c == "]":
             in_class = False
-        out.append("\\z" if c == "$" and not in_class else c)
+        elif c == "(" and not in_class:
+            flags = re.match(r"\(\?([a-zA-Z]*)(-[a-zA-Z]*)?([:)])", pattern[k:])
+            on = lines[-1] if not flags else "m" in flags[1] or lines[-1] and "m" not in (flags[2] or "")
+            if flags and flags[3] == ")":
+                lines[-1] = on
+                out.append(flags[0])
+                k += len(flags[0])
+                continue
+            lines.append(on)
+        elif c == ")" and not in_class and len(lines) > 1:
+            lines.pop()
+        out.append("\\z" if c == "$" and not in_class and not lines[-1] else c)
         k += 1
     body = "".join(out)
-    return ("(?Ud)" if re.search(r"\\[sSwWdDbB]|\.|\(\?i", body) else "") + body
+    return ("(?Ud)" if re.search(r"\\[sSwWdDbB]|\.|\(\?i|(?<!\\)\$", body) else "") + body
 
 
 def required_literals(pattern: str) -> tuple[list[str], bool]:

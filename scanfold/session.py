@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_exchange = re.compile(r"(?m)^[ :+-]*(?:\*\(\d+\) )?\w*Exchange\b")  # a node of a plan, not a word in it
+
+
+_made: list[str] = []  # folders of this process
+
+
 def get_session(app: str = "scanfold", cpus: int | None = None) -> SparkSession:
     """A local session with the settings the engine is tested under."""
     cpus = cpus or os.cpu_count() or 4
@@ -22,24 +31,46 @@ def get_session(app: str = "scanfold", cpus: int | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SCANFOLD_DRIVER_MEMORY", "6g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", os.environ.get("SCANFOLD_CHECKPOINT_DIR") or own_folder())
         .getOrCreate()
     )
 
 
+def own_folder() -> str:
+    """A temporary folder of this process, for sessions on one machine."""
+    root = "file://" + tempfile.mkdtemp(prefix="scanfold-")
+    _made.append(root)
+    return root
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path for one run's files, under the folder all executors share.
+    """A new path for one run's files, under the folder all executors share, deleted when the process ends.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and used instead.
+    as in tests on one machine, a temporary folder is made, set and used instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_scanfold_root", None)
     if not root:
-        root = getattr(spark, "_scanfold_root", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="scanfold-")
-            spark._scanfold_root = root
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = spark._scanfold_root = own_folder()
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@atexit.register
+def clean() -> None:
+    """Delete the folders of this process. Call it when no result of theirs is still to be read."""
+    spark = SparkSession.getActiveSession()
+    while _made:
+        path = _made.pop()
+        try:
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark is not None:
+                remove(spark, path)
+        except Exception:  # the session may be gone; the folder then stays for the cluster to clear
+            continue
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -73,6 +104,6 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().executedPlan()
-    if "Exchange" in plan.toString():
+    if _exchange.search(plan.toString()):
         return df
     return df.repartition(cores * factor) if plan.execute().getNumPartitions() < cores else df

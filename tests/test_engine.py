@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scanfold import rules as R
 from scanfold.functions import globs
 from scanfold.functions import text as T
-from scanfold.operators import components, decode, deps, js, paths, post, report, scan, trace, trust
+from scanfold.operators import components, decode, deps, js, paths, places, post, report, scan, trace, trust
 from scanfold.sinks import report as sinks
 from scanfold.streaming import watch
 
@@ -71,6 +71,49 @@ def test_scan_positions(spark, rule_table):
     assert all("\n" not in r.snippet for r in got)
 
 
+def test_lines_under_the_m_flag(spark):
+    rows_ = [("R", "t", "low", [p], [], [], [], [], True) for p in (r"(?m)^b$", r"^b$", r"(?m:^c$)|d$", r"(?im)^B$")]
+    patterns, _ = R.compile_rules(spark.createDataFrame(rows_, SCHEMA))
+    texts = spark.createDataFrame([(1, "a\nb\nc"), (2, "b"), (3, "b\n"), (4, "b\r\nd"), (5, "d\n")], "i int, t string").withColumn("p", F.lit("x.txt"))
+    got = {(r.pattern_no, r.rule_id, r.i, r.matched) for r in scan.matches(texts, [R.Pattern(**{**p.__dict__, "pattern_no": k}) for k, p in enumerate(patterns)], "i", "t", "p").collect()}
+    by = {p.pattern: k for k, p in enumerate(patterns)}
+    assert {(k, i, m) for k, _, i, m in got} == {
+        (by[r"(?m)^b$"], 1, "b"), (by[r"(?m)^b$"], 2, "b"), (by[r"(?m)^b$"], 3, "b"), (by[r"^b$"], 2, "b"), (by[r"(?m:^c$)|d$"], 1, "c"), (by[r"(?m:^c$)|d$"], 4, "d"), (by[r"(?im)^B$"], 1, "b"), (by[r"(?im)^B$"], 2, "b"), (by[r"(?im)^B$"], 3, "b")
+    }
+
+
+def test_places_against_the_text():
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        t = "".join(rnd.choice("aé\n🙂x ") for _ in range(rnd.randrange(1, 200)))
+        got = list(places.place(re.findall("x+", t), re.split("x+", t)))
+        assert len(got) == len(re.findall("x+", t))
+        for k, (m, x) in enumerate(zip(re.finditer("x+", t), got)):
+            before = t[: m.start()]
+            assert x[:7] == (k, m.group(), len(before.encode()), len(t[: m.end()].encode()), before.count("\n") + 1, len(before.split("\n")[-1].encode()) + 1, t[: m.end()].count("\n") + 1)
+            assert x[7].strip(".").replace("\\n", "\n") in t and m.group() in x[7]
+        assert [x[:4] for x in got] == list(places.place(re.findall("x+", t), re.split("x+", t), None))
+
+
+def test_a_text_with_many_matches(spark, rule_table):
+    """Time in proportion to the text, not to text times matches."""
+    import time
+
+    big = spark.createDataFrame([(1, "a/x.py", "1.2.3.4\n" * 400_000)], "id int, path string, text string")
+    began = time.monotonic()
+    got = scan.matches(big, R.compile_rules(rule_table)[0], "id", "text", "path").agg(F.count("*"), F.max("line"), F.max("byte_offset")).first()
+    assert tuple(got) == (400_000, 400_000, 8 * 399_999) and time.monotonic() - began < 60
+
+
+def test_files_too_large_are_reported(spark, rule_table):
+    files = spark.createDataFrame([(1, "a/x.py", "1.2.3.4"), (2, "b", "1.2.3.4 " * 9), (3, "c", None), (4, "d", "")], "id int, path string, text string")
+    got = {r.id: (r.content_hash is not None, r.n_bytes, r.scanned) for r in scan.results(files, "id", "text", "path", max_bytes=20).collect()}
+    assert got == {1: (True, 7, True), 2: (False, 72, False), 3: (True, 0, True), 4: (True, 0, True)}
+    assert [r.id for r in scan.matches(files, R.compile_rules(rule_table)[0], "id", "text", "path", max_bytes=20).collect()] == [1]
+
+
 def test_snippet_keeps_characters_whole(spark):
     text = "é" * 60 + "HIT" + "漢" * 60
     a = text.index("HIT")
