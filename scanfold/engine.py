@@ -13,6 +13,13 @@ from scanfold.operators import components, decode, js, paths, post, report, scan
 COLUMNS = "path rule_id title description snippet rank start_line start_column end_line byte_offset".split()
 
 
+def text_source(spark: SparkSession, text: str, kind: str = "txt") -> DataFrame:
+    """A text given as an argument or on standard input, as a table of one file (path, text). A blank one is an error."""
+    if not text.strip():
+        raise ValueError("there is no text to scan")
+    return spark.createDataFrame([(f"<stdin>.{kind}", text)], "path string, text string")
+
+
 class Engine:
     """Scans tables of files (path, text) with a table of rules.
 

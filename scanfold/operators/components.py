@@ -47,6 +47,11 @@ def detect(files: DataFrame, path: str, text: str | None = None) -> DataFrame:
     return best.select("root", "b.kind", F.coalesce(manifest_name(F.col("b.__n"), F.col("b.__t")), folder, F.lit("unknown")).alias("name"), "b.manifest")
 
 
+def by_depth(components: DataFrame) -> DataFrame:
+    """Components with their depth, the deepest first, then by path: the order in which the nearest one is looked for."""
+    return components.withColumn("depth", F.size(F.split("root", "/"))).orderBy(F.desc("depth"), "root")
+
+
 def assign(files: DataFrame, path: str, components: DataFrame) -> DataFrame:
     """``files`` with ``component_root``: the nearest folder above that is a component, else null.
 

@@ -117,6 +117,18 @@ def install_scope(relative: Column, whitelist: list[str] | None = None) -> Colum
     return out.when(in_dev | globs.matches(name, dev), "dev_only").otherwise("installed")
 
 
+def installed_only(files: DataFrame, scope: str = "scope", reachable: str = "reachable") -> DataFrame:
+    """Without development files, unless an instruction leads to them."""
+    return files.where((F.col(scope) == "installed") | F.coalesce(F.col(reachable), F.lit(False)))
+
+
+def scope_counts(files: DataFrame, by: list[str], scope: str = "scope", reachable: str = "reachable") -> DataFrame:
+    """Per group: files, installed ones, development ones and reachable ones. A file that an instruction leads to counts as installed."""
+    led = F.coalesce(F.col(reachable), F.lit(False))
+    installed = (F.col(scope) == "installed") | led
+    return files.groupBy(*by).agg(F.count("*").alias("n_files"), F.count_if(installed).alias("n_installed"), F.count_if(~installed).alias("n_dev_only"), F.count_if(led).alias("n_reachable"))
+
+
 def npm_whitelist(package_json: dict) -> list[str] | None:
     """The globs of what a package ships, from its manifest; None without a ``files`` list."""
     files = package_json.get("files")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfold.functions import text as T
@@ -15,7 +15,7 @@ SECURITY_PATHS = (
     "guard sentinel detector scanner security audit vettr bastion firewall protection shield defense defence sanitiz validator checker filter waf".split()
 )
 DETECTION_WORDS = "pattern regex detect test_case should_match blacklist blocklist denylist allowlist whitelist sanitize validate filter check match rule signature indicator".split()
-REGEX_CALLS = "re.compile( re.match( re.search( re.findall( re.sub( new regexp( regexp( regex::new( regexset::new( regex!(".replace("new regexp(", "new~regexp(").split()
+REGEX_CALLS = ["re.compile(", "re.match(", "re.search(", "re.findall(", "re.sub(", "new regexp(", "regexp(", "regex::new(", "regexset::new(", "regex!("]
 URL = r"""https?://([a-zA-Z0-9._-]+)(/[^\s|"')\]>]*)?"""
 # Hosts of common installers.
 TRUSTED_DOMAINS = [
@@ -25,6 +25,7 @@ TRUSTED_DOMAINS = [
     ("raw.githubusercontent.com", "/Homebrew", "package manager"), ("foundry.paradigm.xyz", None, "contract toolchain"), ("astral.sh", None, "Python toolchain"), ("tailscale.com", None, "VPN"), ("fnm.vercel.app", None, "Node versions"),
 ]
 HIGH_DENSITY = 4
+MAX_DOMAINS = 100_000  # of a file of trusted hosts, which is configuration
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -38,7 +39,7 @@ def in_string_literal(snippet: Column) -> Column:
     """Raw strings, calls that make regular expressions, regular expression literals, or a detection word beside a quote."""
     line, low = F.trim(snippet), F.lower(F.trim(snippet))
     raw = _any(line, ['r"', "r'", 'r#"'])
-    calls = _any(low, [c.replace("~", " ") for c in REGEX_CALLS])
+    calls = _any(low, REGEX_CALLS)
     # slashes are used up in pairs, so a pair that is too short hides the next one
     literal = line.rlike(r"^(?:[^/]|(?<=[0-9)])/|/(?:\\.|[^/\\]){0,2}/)*?(?<![0-9)])/(?:\\.|[^/\\]){2,}(?:\\.|[^/\\])/")
     words = _any(low, DETECTION_WORDS) & (line.contains('"') | line.contains("'"))
@@ -54,6 +55,26 @@ def detection_context(snippet: Column, path: Column, injections: Column) -> Colu
     )
 
 
+def is_injection(rule_id: Column, families: tuple[str, ...] = ("INJECT-", "AUTH-")) -> Column:
+    """Does the rule belong to a family that reports injected instructions?"""
+    out = F.lit(False)
+    for f in families:
+        out = out | F.coalesce(rule_id.startswith(f), F.lit(False))
+    return out
+
+
+def load_domains(spark: SparkSession, *files: str) -> list[tuple]:
+    """The hosts of JSON files, official ones first as they are given: (host, path prefix or None, purpose)."""
+    schema = "domains array<struct<domain string, path_prefix string, purpose string>>"
+    out = []
+    for f in files:
+        rows = spark.read.schema(schema).option("multiLine", True).json(f).select(F.explode("domains").alias("d")).select("d.*").limit(MAX_DOMAINS + 1).collect()
+        if len(rows) > MAX_DOMAINS:
+            raise ValueError(f"{f} has more than {MAX_DOMAINS} hosts")
+        out += [tuple(r) for r in rows if r.domain]
+    return out
+
+
 def trusted_domain(findings: DataFrame, row_id: str, snippet: str, domains: list[tuple] | None = None) -> DataFrame:
     """(row_id, trusted_domain): the first installer host a snippet's addresses name, by the order of the list."""
     rows = [(k, d, p, f"{d} ({why})") for k, (d, p, why) in enumerate(TRUSTED_DOMAINS if domains is None else domains)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.session import small
+from scanfold.session import remove, small
 
 KIND_KEYS = {"skill": "skill", "mcp_server": "mcp", "plugin": "plugin", "npm_package": "npm", "rust_crate": "crate"}
 
@@ -45,6 +47,60 @@ def revoke(trust: DataFrame, key: str) -> DataFrame:
     return trust.where(~((F.col("key") == key) | F.col("key").endswith(f":{key}")))
 
 
+TRUST = "key string, component_hash string, level string, accepted_rules array<string>"
+
+
+def load_trust(spark: SparkSession, path: str) -> DataFrame:
+    """The stored decisions by key, ascending; none if nothing is stored."""
+    return read_or_empty(spark, path, TRUST).orderBy("key")
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Store decisions or a baseline, in place of what is there. The new table is whole before the old one goes."""
+    spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    remove(spark, path)
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (fresh, path))
+    a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+CACHE = "content_hash string, profile_hash string, cached_at timestamp, result string"
+
+
+def cache_put(results: DataFrame, path: str) -> None:
+    """Add results (in the columns of ``CACHE``) to a cache; a lookup takes the latest of a hash and profile."""
+    results.where(F.col("content_hash").isNotNull()).select("content_hash", "profile_hash", "cached_at", "result").write.mode("append").parquet(path)
+
+
+def cache_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The latest result of each content and profile."""
+    c = read_or_empty(spark, path, CACHE)
+    return c.groupBy("content_hash", "profile_hash").agg(F.max_by(F.struct("cached_at", "result"), F.struct("cached_at", "result")).alias("x")).select("content_hash", "profile_hash", "x.*")
+
+
+def cache_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(n_entries, n_bytes, size): what a cache holds."""
+    c = cache_entries(spark, path).agg(F.count("*").alias("n_entries"), F.coalesce(F.sum(F.octet_length("result")), F.lit(0)).alias("n_bytes"))
+    return c.withColumn("size", size_text(F.col("n_bytes")))
+
+
+def size_text(n: Column) -> Column:
+    """Bytes, KB, MB or GB, with one decimal from KB on."""
+    unit = lambda k, u: F.concat(F.format_string("%.1f", n / F.lit(float(1024**k))), F.lit(f" {u}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+
+
+def cache_clear(spark: SparkSession, path: str) -> None:
+    remove(spark, path)
+
+
 def new_files(files: DataFrame, baseline: DataFrame, on: list[str]) -> DataFrame:
     """Files that the baseline doesn't hold unchanged: anti join on path and content hash. Null hashes are always new."""
     return files.join(baseline.select(*on).distinct(), on, "left_anti")

@@ -64,13 +64,22 @@ def markdown(findings: DataFrame, summary: dict) -> str:
 
 
 def terminal(findings: DataFrame, verdict: str) -> str:
-    """The report as plain text, grouped by file; suppressed findings are only counted."""
-    rows = _bounded(findings.orderBy("path", F.desc("rank"), "start_line"))
-    out, last = [], None
+    """The report as plain text: by component where ``findings`` has the column component, files of none under Other files.
+
+    Each component has its files, findings and risk on top; suppressed findings are only counted.
+    """
+    named = findings if "component" in findings.columns else findings.withColumn("component", F.lit(None).cast("string"))
+    rows = _bounded(named.orderBy(F.asc_nulls_last("component"), "path", F.desc("rank"), "start_line"))
+    out, component, path = [], 0, 0
     for r in (r for r in rows if r["suppressed_by"] is None):
-        if r["path"] != last:
-            out.append(r["path"] or "(no file)")
-            last = r["path"]
+        if r["component"] != component:
+            component, path = r["component"], 0
+            own = [x for x in rows if x["component"] == component and x["suppressed_by"] is None]
+            risk = T.SEVERITIES[max(x["rank"] for x in own)].upper()
+            out += [f"-- {component or 'Other files'} --", f"   Files: {len({x['path'] for x in own})} | Findings: {len(own)} | Risk: {risk}"]
+        if r["path"] != path:
+            path = r["path"]
+            out.append(path or "(no file)")
         out.append(f"  {T.SEVERITIES[r['rank']].upper():8} {r['rule_id']} line {r['start_line']}: {r['title']}")
     hidden = sum(r["suppressed_by"] is not None for r in rows)
     return "\n".join([*out, f"{hidden} suppressed", f"Verdict: {verdict}"])

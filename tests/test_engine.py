@@ -11,7 +11,9 @@ from scanfold import rules as R
 from scanfold.functions import globs
 from scanfold.functions import text as T
 from scanfold.operators import components, decode, deps, js, paths, places, post, report, scan, trace, trust
+from scanfold.engine import text_source
 from scanfold.sinks import report as sinks
+from scanfold.sources import discovery
 from scanfold.streaming import watch
 
 
@@ -249,6 +251,104 @@ def test_js():
     assert js.unescape(r"\x65v\u{61}l\n")[0] == "eval\n"
 
 
+SCRIPTS = [
+    ("window['eval'](x)", ["AST-EXEC-001"] * 2), ("globalThis['ev' + 'al']", ["AST-EXEC-003"]), ("self['\\x65val']", ["AST-EXEC-004"]), ("(0, eval)(x)", ["AST-EXEC-005"]), ("const { exec: run } = require('child_process')", ["AST-SHELL-001"]),
+    ("import { exec as run } from 'node:child_process'", ["AST-SHELL-001"]), ("const e = eval; e(x)", ["AST-EXEC-002"]), ("const a = eval, b = a\nb(1)", ["AST-EXEC-002"]), ("run = eval; run(1)", []), ("e(x); const e = eval", []),
+    ("function f(){ const run = eval; run(1) } run(2)", ["AST-EXEC-002"]), ("const run = eval; function f(){ const run = 5; run(1) } run(2)", ["AST-EXEC-002"]), ("if (x) { var g = eval } g(1)", ["AST-EXEC-002"]),
+    ("class A { run() { const q = Function; q('x') } }\nq(1)", ["AST-EXEC-002"]), ("const f = (a) => { const z = eval; z(a) }; z(1)", ["AST-EXEC-002"]), ("function t(a): void { const h = eval; h(1) } h(2)", ["AST-EXEC-002"]),
+    ("const e: any = eval; e(x)", ["AST-EXEC-002"]), ("`${window['eval'](x)}`", ["AST-EXEC-001"] * 2), ("obj = { e(x) { return 1 } }", []), ("const s = 'window[\\'eval\\']'", []), ("// window['eval']", []),
+]
+
+
+@pytest.mark.parametrize("source,want", SCRIPTS)
+def test_scripts(source, want):
+    assert [x[0] for x in js.detect(source)] == want
+
+
+def test_scripts_long_alias_chain():
+    chain = "".join(f"const a{k + 1} = a{k};" for k in range(20))
+    assert len(js.detect("const a0 = eval;" + chain + "a8(1); a20(1)")) == 1
+
+
+def test_script_rules_are_data(spark, tmp_path):
+    rules = {
+        "dangerous_lists": {"globals": ["top"], "functions": ["boom"], "modules": {"m": ["x"]}},
+        "detectors": [{"id": "A-1", "strategy": "computed_access", "title": "t", "severity": "low", "enabled": True}, {"id": "A-2", "strategy": "comma_operator", "title": "t", "severity": "low", "enabled": False}, {"id": "A-3", "strategy": "new_one", "title": "t", "severity": "low"}],
+    }
+    (tmp_path / "r.json").write_text(json.dumps(rules))
+    mine = js.ScriptDetector(js.load_script_rules(str(tmp_path / "r.json")))
+    files = spark.createDataFrame([(1, "top['boom']; (0, boom)(1); window['eval']", "a.js"), (2, "x = eval\nx('1')", "b.py"), (3, None, "c.js"), (4, "top['boom']" + " " * 99, "d.js")], "i int, t string, p string")
+    assert [tuple(r) for r in js.ast_findings(files, "i", "t", "p", (mine,), max_bytes=80).collect()] == [(1, "A-1", "low", 0, 1, "boom")]
+
+    class Python:
+        extensions = ("py",)
+
+        def __call__(self, source):
+            return [("P-1", "info", source.index("eval"), "eval")]
+
+    got = js.ast_findings(files, "i", "t", "p", (js.ScriptDetector(), Python())).collect()
+    assert sorted((r.i, r.rule_id) for r in got) == [(1, "AST-EXEC-001"), (2, "P-1")]
+
+
+def test_adapters(spark):
+    names = [".claude/plugins/a/b/c/d.js", ".claude/plugins/x.png", ".claude/settings.json", ".claude/hooks/h.rb", ".claude/hooks/s/h", ".claude/hooks/s/t/h", ".claude/CLAUDE.md", "CLAUDE.md", ".claude.json", ".claude/commands/review.md", ".claude/skills/re/SKILL.md", ".claude/skills/a/b/c/d.md", ".claude/skills/a/b/c/d/e.md", "other.js"]
+    files = spark.createDataFrame([(f"/home/u/{n}",) for n in [*names, names[0]]] + [(None,)], "path string")
+    a = discovery.create_adapter("agent", "/home/u")
+    got = {r.path.removeprefix("/home/u/"): (r.kind, r.name) for r in a.discover(files).collect()}
+    assert a.discover(files).count() == len(got) and got == {
+        ".claude/plugins/a/b/c/d.js": ("plugin", "d.js"), ".claude/settings.json": ("mcp_server", "settings.json (servers)"), ".claude/hooks/h.rb": ("hook", "h.rb"), ".claude/hooks/s/h": ("hook", "h"), ".claude/CLAUDE.md": ("prompt", "CLAUDE.md (global)"), "CLAUDE.md": ("prompt", "CLAUDE.md (home)"),
+        ".claude.json": ("mcp_server", ".claude.json"), ".claude/commands/review.md": ("prompt", "command: review"), ".claude/skills/re/SKILL.md": ("prompt", "skill: re"), ".claude/skills/a/b/c/d.md": ("prompt", "skill: d"),
+    }
+    assert discovery.detect_platform(files, "/home/u") == "agent" and discovery.detect_platform(files, "/srv") is None
+    assert isinstance(discovery.create_adapter("unknown"), discovery.GenericAdapter)
+    assert {r.path for r in a.discover_at(files, "/home/u/other.js").collect()} == {"/home/u/other.js"}
+    assert a.discover_at(files, "/home/u/.claude/hooks").count() == 0 and a.discover_at(files, "/home/u/.claude/hooks/h.rb").first().kind == "other"
+
+
+def test_text_source(spark):
+    assert [tuple(r) for r in text_source(spark, "eval(x)", "js").collect()] == [("<stdin>.js", "eval(x)")]
+    with pytest.raises(ValueError):
+        text_source(spark, " \n")
+
+
+def test_exports():
+    import scanfold
+
+    assert all(getattr(scanfold, n) for n in scanfold.__all__)
+    with pytest.raises(AttributeError):
+        scanfold.nothing
+
+
+def test_stores(spark, tmp_path):
+    at = "file:" + str(tmp_path / "trust")
+    assert trust.load_trust(spark, at).count() == 0
+    one_ = spark.createDataFrame([("skill:b", "h", "full", []), ("skill:a", "h", "accepted", ["R"])], trust.TRUST)
+    trust.save(one_, at)
+    trust.save(trust.revoke(trust.upsert(trust.load_trust(spark, at), spark.createDataFrame([("skill:c", "h", "full", [])], trust.TRUST)), "b"), at)
+    assert [r.key for r in trust.load_trust(spark, at).collect()] == ["skill:a", "skill:c"]
+    c = "file:" + str(tmp_path / "cache")
+    put = lambda *rows: trust.cache_put(spark.createDataFrame(rows, "content_hash string, profile_hash string, cached_at string, result string").withColumn("cached_at", F.col("cached_at").cast("timestamp")), c)
+    put(("h1", "p", "2024-01-01", "old"), (None, "p", "2024-01-01", "x"))
+    put(("h1", "p", "2024-01-02", "newer"), ("h2", "p", "2024-01-01", "x" * 2048))
+    assert {(r.content_hash, r.result[:5]) for r in trust.cache_entries(spark, c).collect()} == {("h1", "newer"), ("h2", "xxxxx")}
+    assert tuple(trust.cache_stats(spark, c).first()) == (2, 2053, "2.0 KB")
+    trust.cache_clear(spark, c)
+    assert tuple(trust.cache_stats(spark, c).first()) == (0, 0, "0 B")
+
+
+def test_domain_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"domains": [{"domain": "a.test", "purpose": "x"}, {"domain": "b.test", "path_prefix": "/ok", "purpose": "y"}]}))
+    (tmp_path / "b.json").write_text('{"domains": []}')
+    assert post.load_domains(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")) == [("a.test", None, "x"), ("b.test", "/ok", "y")]
+
+
+def test_terminal_by_component(spark):
+    f = spark.createDataFrame([("a", "f1", "R-1", "t", 4, 3, None), ("a", "f2", "R-2", "t", 1, 1, None), (None, "g", "R-1", "t", 2, 1, None), ("z", "q", "R-1", "t", 3, 1, "skill:z")], "component string, path string, rule_id string, title string, rank int, start_line int, suppressed_by string")
+    lines = sinks.terminal(f, "DANGEROUS").split("\n")
+    assert lines[:2] == ["-- a --", "   Files: 2 | Findings: 2 | Risk: CRITICAL"] and "-- Other files --" in lines and "-- z --" not in lines
+    assert lines[-2:] == ["1 suppressed", "Verdict: DANGEROUS"]
+
+
 def test_sinks(spark):
     f = spark.createDataFrame([("R-1", "t", "d", "a/x.js", 3, None, 4, "s", None), ("R-1", "t2", "d", "a/y.js", 1, 2, 1, None, "k")], "rule_id string, title string, description string, path string, start_line int, start_column int, rank int, snippet string, suppressed_by string")
     doc = json.loads(sinks.render(f, "sarif", {}))
