@@ -51,16 +51,6 @@ def trusted_domains(spark: SparkSession, d: str) -> DataFrame:
     return post.trusted_domain(_findings(spark, d, "snippet").where(F.col("finding_id").isNotNull()), "finding_id", "snippet", HOSTS)
 
 
-def adjusted_severities(spark: SparkSession, d: str) -> DataFrame:
-    """Every finding's severity after its surroundings are taken into account, and why it changed."""
-    f = _findings(spark, d, "path", "rule_id", "snippet", "category").where(F.col("finding_id").isNotNull()).withColumn("rule_id", rule_key(F.col("rule_id")))
-    inj = f.where(F.col("category").isin(*INJECTION)).groupBy("path").agg(F.count("*").alias("injections"))
-    dom = post.trusted_domain(f, "finding_id", "snippet", HOSTS)
-    rel = T.relative_path(F.col("path"), F.regexp_extract("path", ROOT, 1))
-    f = f.join(inj, "path", "left").join(dom, "finding_id", "left").withColumns({"reachable": F.coalesce(F.col("path").endswith("/README.md"), F.lit(False)), "scope": paths.install_scope(rel)})
-    return post.adjust(f, F.col("category").isin(*INJECTION)).select("finding_id", T.severity_name(F.col("rank")).alias("severity"), "reason")
-
-
 def _trust_of(components: DataFrame) -> DataFrame:
     c = F.col("component_id")
     level = F.when(c < 5, "full").when(c < 10, "accepted").when(c < 12, "quarantined").otherwise("unknown")
@@ -165,7 +155,7 @@ def message_alerts_live(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reference_edges, agent_reachable, trusted_domains, adjusted_severities, trust_apply, trust_quarantine, baseline_new_files, baseline_new_findings, cache_lookup,
+        reference_edges, agent_reachable, trusted_domains, trust_apply, trust_quarantine, baseline_new_files, baseline_new_findings, cache_lookup,
         deps_typosquat, deps_scripts, ast_findings, sarif_results, sarif_rules, alerts_windowed, message_alerts_ttl, message_alerts_live,
     )
 }

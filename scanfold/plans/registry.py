@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanfold.plans import context, dealt, decode, paths, report, scan
+from scanfold.plans import context, dealt, decode, parts, paths, report, scan
 
-_PLANS = (scan, decode, report, paths, context, dealt)
+_PLANS = (scan, decode, report, paths, context, parts, dealt)
 FLAGSHIP = "scan_findings"
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
