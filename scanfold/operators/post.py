@@ -96,7 +96,7 @@ def adjust(findings: DataFrame, injection: Column, include_dev: bool = False, ma
     ext = T.extension(F.col("path"))
     exempt = F.lit(False)
     for p in () if manifest_based else CAP_EXEMPT:
-        exempt = exempt | F.col("rule_id").startswith(p)
+        exempt = exempt | F.coalesce(F.col("rule_id").startswith(p), F.lit(False))
     steps = [
         ("trusted_domain", F.col("trusted_domain").isNotNull() & (F.col("__r") > 0), 0),
         ("injection_context", injection & (F.col("__r") > 1) & detection_context(F.col("snippet"), F.col("path"), F.col("injections")).isNotNull(), 1),

@@ -10,19 +10,18 @@ from scanfold.functions.keys import hash_key, rule_key
 from scanfold.operators import deps, js, paths, post, report, trace, trust
 from scanfold.plans.paths import ROOT
 from scanfold.plans.report import _F, _HASH, _RULE, _SEV, _findings
+from scanfold.session import work_dir
 from scanfold.sinks import report as sinks
 from scanfold.sources.tables import table
 from scanfold.streaming import watch
 
 CUT = "2024-01-04 00:00:00"
 NOW = "2024-01-11 00:00:00"
-OBFUSCATED = """
-window['eval'](code); globalThis["ev" + "al"](code); self['\\x65val'](code); (0, eval)(code);
-const run = eval;
-run(code);
-const { exec: go } = require('child_process');
-"""
-INJECTION = ("prompt_injection", "authority_impersonation")
+# a form, and the rules that report it with where
+PLANTED = [
+    ("window['eval'](code);", [("AST-EXEC-001", 0), ("AST-EXEC-001", 0)]), ('globalThis["ev" + "al"];', [("AST-EXEC-003", 0)]), ("self['\\x65val'];", [("AST-EXEC-004", 0)]), ("(0, eval)(code);", [("AST-EXEC-005", 0)]),
+    ("const run = eval; run(code);", [("AST-EXEC-002", 18)]), ("const { exec: go } = require('child_process');", [("AST-SHELL-001", 8)]), ("function f() { const run = eval } run(code);", []),
+]
 HOSTS = [(f"{w}.{v}{n}.{t}", "/", "test host") for w in ("cache", "frame", "window", "policy") for v in ("amber", "ember", "slate") for n in range(1, 100) for t in ("test", "example")]
 
 
@@ -48,14 +47,19 @@ def agent_reachable(spark: SparkSession, d: str) -> DataFrame:
 
 def trusted_domains(spark: SparkSession, d: str) -> DataFrame:
     """Findings whose snippet names a trusted host."""
-    return post.trusted_domain(_findings(spark, d, "snippet").where(F.col("finding_id").isNotNull()), "finding_id", "snippet", HOSTS)
+    files = [work_dir(spark, "hosts") for _ in range(2)]
+    for at, part in zip(files, (HOSTS[:1000], HOSTS[1000:])):  # an official file and a community file
+        spark.createDataFrame([(part,)], "domains array<struct<domain string, path_prefix string, purpose string>>").coalesce(1).write.json(at)
+    return post.trusted_domain(_findings(spark, d, "snippet").where(F.col("finding_id").isNotNull()), "finding_id", "snippet", post.load_domains(spark, *files))
 
 
 def _trust_of(components: DataFrame) -> DataFrame:
     c = F.col("component_id")
     level = F.when(c < 5, "full").when(c < 10, "accepted").when(c < 12, "quarantined").otherwise("unknown")
     rules = F.when(c < 8, F.array(F.lit("MASK-3"), F.lit("LEAK-4"))).otherwise(F.array().cast("array<string>"))
-    return components.select(F.concat(F.lit("skill:"), c).alias("key"), "component_hash", level.alias("level"), rules.alias("accepted_rules"))
+    # every third component has changed since it was decided on
+    decided = F.when(c % 3 == 2, F.sha2(F.col("component_hash"), 256)).otherwise(F.col("component_hash"))
+    return components.select(trust.trust_key(F.lit("skill"), c.cast("string")).alias("key"), decided.alias("component_hash"), level.alias("level"), rules.alias("accepted_rules"))
 
 
 def _component_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +72,7 @@ def trust_apply(spark: SparkSession, d: str) -> DataFrame:
     hashes = _component_hashes(spark, d)
     results = table(spark, d, "scan_results").select("result_id", "component_id").where(F.col("component_id").isNotNull()).dropDuplicates(["result_id"])
     f = _findings(spark, d, "result_id", "rule_id").drop("suppressed_by").join(results, "result_id").join(hashes, "component_id")
-    f = f.withColumns({"key": F.concat(F.lit("skill:"), "component_id"), "rule": rule_key(F.col("rule_id"))})
+    f = f.withColumns({"key": trust.trust_key(F.lit("skill"), F.col("component_id").cast("string")), "rule": rule_key(F.col("rule_id"))})
     out = trust.apply_trust(f, _trust_of(hashes), "key", "component_hash", "rule")
     return out.groupBy("component_id").agg(F.count("*").alias("n"), F.count("suppressed_by").alias("n_suppressed"))
 
@@ -114,9 +118,17 @@ def deps_scripts(spark: SparkSession, d: str) -> DataFrame:
     return deps.install_scripts(m, "finding_id", "text").select("finding_id", "hook")
 
 
+def ast_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts that begin with one of seven forms, by the document's number: what is found in the first lines."""
+    n = F.col("doc_id") % len(PLANTED)
+    first = F.element_at(F.array(*[F.lit(x) for x, _ in PLANTED]), (n + 1).cast("int"))
+    docs = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.concat(first, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"), F.format_string("s/%d.%s", "doc_id", F.when(F.col("doc_id") % 2 == 0, "js").otherwise("ts")).alias("path"))
+    return js.ast_findings(docs, "doc_id", "text", "path").where("line = 1").groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 def ast_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Obfuscated calls in JavaScript documents, to which some are added, and in snippets of JavaScript files."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat("text", F.lit(OBFUSCATED)).alias("text"), "path")
+    """Obfuscated calls in JavaScript documents and in snippets of JavaScript files."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", "path")
     snippets = _findings(spark, d, "snippet", "path").select(F.concat(F.lit("f"), "finding_id").alias("id"), F.replace("snippet", F.lit("\\n"), F.lit("\n")).alias("text"), "path")
     return js.ast_findings(docs.unionByName(snippets), "id", "text", "path")
 
@@ -140,10 +152,9 @@ def alerts_windowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_alerts_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's latest event, however old, as its SQL has it: nothing expires. ``message_alerts_live`` has the expiry."""
+    """Each user's latest event, if it was within a day of the end."""
     e = table(spark, d, "events").select("user_id", "ts", F.col("event_type").alias("alert"))
-    now = e.agg(F.max("ts").alias("now"))  # one row
-    return watch.latest_alerts(e.join(F.broadcast(now)).where(F.col("ts") <= F.col("now")).select("user_id", "ts", "alert"), "user_id", "ts", F.lit("2100-01-01").cast("timestamp"), 10**10).select("user_id", "alert", "ts")
+    return watch.latest_alerts(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), 86_400).select("user_id", "alert", "ts")
 
 
 def message_alerts_live(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reference_edges, agent_reachable, trusted_domains, trust_apply, trust_quarantine, baseline_new_files, baseline_new_findings, cache_lookup,
-        deps_typosquat, deps_scripts, ast_findings, sarif_results, sarif_rules, alerts_windowed, message_alerts_ttl, message_alerts_live,
+        deps_typosquat, deps_scripts, ast_planted, ast_findings, sarif_results, sarif_rules, alerts_windowed, message_alerts_ttl, message_alerts_live,
     )
 }
 
@@ -165,7 +176,15 @@ e as (select distinct a.path src, b.path dst from n a join n b on (b.doc_id = a.
 """
 _HASHES = f"""h as (select distinct component_id, {_HASH} h from scan_results where component_id is not null),
 l as (select component_id, substr(h, 1, 2) b, sha256(string_agg(h, chr(10) order by h) || chr(10)) leaf from h group by all)"""
+_WORDS = "select distinct unnest(regexp_extract_all(lower({c}), '[a-z]+')) as name from {t}"
+_SINGLE = "array_to_string(list_transform(regexp_extract_all({c}, '" + "|".join(f"{x}+" for x in "abcdefghijklmnopqrstuvwxyz") + "'), lambda y: y[1]), '')"
 ORACLE = {
+    "deps_typosquat": f"""with m as ({_WORDS.format(c="phrase", t="watch_phrases")}), n as ({_WORDS.format(c='"text"', t="eval_items")}), a as (select name from n where length(name) > 2 and name not in (select name from m)),
+      b as (select name imitates from m where length(name) > 2),
+      x as (select name, imitates, case when {_SINGLE.format(c="name")} = {_SINGLE.format(c="imitates")} then 2 when length(imitates) > 4 and levenshtein(name, imitates) <= 2 then 3 end how from a, b)
+      select name, imitates, case how when 2 then 'doubled' else 'distance' end technique from x where how is not null qualify row_number() over (partition by name order by how, imitates) = 1""",
+    "ast_planted": "with p as (select unnest([" + ", ".join(f"{{'m': {k}, 'r': '{r}', 's': {a}}}" for k, (_, found) in enumerate(PLANTED) for r, a in found) + "]) x) select x.r rule_id, case when x.r like 'AST-SHELL%' then 'high' else 'critical' end severity, count(*) n, sum(x.s)::bigint starts "
+    f"from documents join p on doc_id % {len(PLANTED)} = x.m where doc_id is not null group by x.r",
     "reference_edges": _EDGES + "select src, dst from e",
     "agent_reachable": _EDGES
     + """, r1 as (select distinct src instruction, dst path, 1 depth from e where src like '%/SKILL.md'), r2 as (select distinct instruction, dst path, 2 depth from r1 join e on r1.path = e.src),
@@ -173,7 +192,7 @@ ORACLE = {
       select instruction, path, min(depth) depth from (from r1 union all from r2 union all from r3) group by all""",
     "trust_apply": _F
     + f""", r as (select result_id, any_value(component_id) c from scan_results where component_id is not null group by result_id)
-      select c component_id, count(*) n, count(*) filter (c < 5 or (c < 8 and {_RULE} in ('MASK-3', 'LEAK-4')) or (c >= 8 and c < 10)) n_suppressed from f join r using (result_id) group by c""",
+      select c component_id, count(*) n, count(*) filter (c % 3 <> 2 and (c < 5 or (c < 8 and {_RULE} in ('MASK-3', 'LEAK-4')) or (c >= 8 and c < 10))) n_suppressed from f join r using (result_id) group by c""",
     "trust_quarantine": "select 'skill:' || component_id \"key\", min(path) path, 'TRUST-Q01' rule_id, 'critical' severity from scan_results where component_id in (10, 11) group by component_id",
     "baseline_new_files": f"""with r as (select path, {_HASH} h, received_at from scan_results where path is not null)
       select path, count(*) n from r a where received_at >= timestamptz '{CUT}+00' and not exists (select 1 from r b where b.received_at < timestamptz '{CUT}+00' and a.path = b.path and a.h = b.h) group by path""",
@@ -189,7 +208,7 @@ ORACLE = {
     + f""", r as (select *, {_RULE} r from f where rule_id is not null) select r rule_id, title, description, case when rank >= 3 then 'error' when rank = 2 then 'warning' else 'note' end "level"
       from r qualify row_number() over (partition by r order by detected_at, finding_id) = 1""",
     "alerts_windowed": "select date_trunc('hour', ts) \"start\", event_type kind, count(*) n from events group by all",
-    "message_alerts_ttl": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1",
+    "message_alerts_ttl": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1 and ts >= (select max(ts) from events) - interval 1 day",
     "message_alerts_live": "select user_id, event_type alert, ts from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1 and ts >= (select max(ts) from events) - interval 1 hour",
     "trusted_domains": _F
     + r""", u as (select finding_id, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 1)) host, unnest(regexp_extract_all(snippet, 'https?://([a-zA-Z0-9._-]+)(/[^\s|"'')\]>]*)?', 2)) rest,

@@ -98,6 +98,12 @@ select rule_id, count(*) n_tests, count(*) filter (matched = expected) n_passed
 ORACLE = {
     "scan_findings": _SQL + "select doc_id, rule_id, pattern_no, match_no, matched, byte_offset, line, col, severity from found",
     "scan_message_context": SCAN_SQL.format(where="(len(contexts) = 0 or list_contains(contexts, 'message')) and") + "select doc_id, rule_id, pattern_no, match_no, byte_offset, severity from found where sev_rank >= 2",
+    # as many characters to either side as fill fifty bytes
+    "scan_snippets": _SQL
+    + """, w as (select *, substr(text, length(pre) + length(matched) + 1) post from found),
+y as (select *, case when strlen(pre) <= 50 then pre else right(pre, list_filter(range(1, 51), lambda k: strlen(right(pre, k::bigint)) >= 50)[1]::bigint) end a,
+      case when strlen(post) <= 50 then post else left(post, list_filter(range(1, 51), lambda k: strlen(left(post, k::bigint)) >= 50)[1]::bigint) end b from w)
+select doc_id, rule_id, pattern_no, match_no, case when a = pre then '' else '...' end || replace(a || matched || b, chr(10), '\\n') || case when b = post then '' else '...' end snippet from y""",
     "scan_severity_counts": _SQL + "select severity, count(f.doc_id) n from (select unnest(['info','low','medium','high','critical']) severity) left join found f using (severity) group by severity",
     "scan_rule_totals": _SQL + "select rule_id, count(*) n_findings, count(distinct doc_id) n_docs, min(doc_id) first_doc from found group by rule_id",
     "rule_inventory": "select rule_id, category, severity, enabled, len(patterns) n_patterns, array_to_string(list_sort(file_extensions), ',') extensions from rules",
