@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions import text as T
 from scanfold.operators.paths import INSTRUCTIONS
-from scanfold.session import spread
+from scanfold.session import spread, written
 
 # How a text refers to a file; the first group that matched is the path.
 VERB = r"(?i)\b(?:read|execute|run|follow\s+(?:the\s+)?instructions?\s+in|source|include)\s+(?:`([^`]+)`|\"([^\"]+)\"|'([^']+)'|(\S+\.\w{1,5}))"
@@ -18,6 +20,11 @@ FOLLOWED = "md txt".split()
 MAX_DEPTH = 3
 
 
+def _first_group(pattern: str, groups: int) -> Callable[[Column], Column]:
+    """The first group of a match that isn't empty."""
+    return lambda m: F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, k), F.lit("")) for k in range(1, groups + 1)], F.lit(""))
+
+
 def references(files: DataFrame, path: str, text: str, root: str) -> DataFrame:
     """(src, dst): distinct references between files that exist under the same root.
 
@@ -25,11 +32,10 @@ def references(files: DataFrame, path: str, text: str, root: str) -> DataFrame:
     Addresses and anchors are none. Null texts refer to nothing.
     """
     t = F.col("__t")
-    verbs = F.array_compact(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(VERB), F.lit(k)) for k in (1, 2, 3, 4)])))
-    found = F.array_distinct(F.filter(F.concat(verbs, F.regexp_extract_all(t, F.lit(LINK), F.lit(1)), F.regexp_extract_all(t, F.lit(TICK), F.lit(1))), lambda x: x != ""))
     src = spread(files.select(F.col(path).alias("src"), F.col(text).alias("__t"), F.regexp_replace(root, r"/+$", "").alias("__root")))
-    src = src.where(t.rlike(f"{VERB}|{LINK}|{TICK}"))
-    r = src.select("src", "__root", F.explode_outer(found).alias("ref")).where(F.col("ref").isNotNull() & ~F.col("ref").rlike(r"^(?:https?://|#)"))
+    # one pass for whole references of each form; the path is then taken out of the few that there are
+    whole = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), _first_group(p, g)) for p, g in ((VERB, 4), (LINK, 1), (TICK, 1))])
+    r = src.select("src", "__root", F.explode_outer(F.array_distinct(F.filter(whole, lambda x: x != ""))).alias("ref")).where(F.col("ref").isNotNull() & ~F.col("ref").rlike(r"^(?:https?://|#)"))
     near = T.normal_path(F.concat_ws("/", T.directory(F.col("src")), "ref"))
     far = F.when(~F.col("ref").rlike(r"^\.\.?/"), T.normal_path(F.concat_ws("/", "__root", "ref")))
     r = r.select("src", "__root", near.alias("near"), far.alias("far"))
@@ -46,8 +52,10 @@ def is_instruction(path: F.Column) -> F.Column:
 def reachable(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(instruction, path, depth): files reached from each start, by the fewest steps; only prose files are followed.
 
-    ``starts`` has the column ``instruction``. The few steps are unrolled; each is a join with the edges.
+    ``starts`` has the column ``instruction``. The few steps are unrolled; each is a join with the edges, which are written
+    once, so that no step looks for references again.
     """
+    edges = written(edges, "edges")
     now = starts.select("instruction", F.col("instruction").alias("path")).distinct()
     out = None
     for k in range(1, depth + 1):
