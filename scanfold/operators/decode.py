@@ -2,7 +2,8 @@
 
 One layer is a projection: the text is cut at the encoded pieces, each piece is decoded by
 built-in functions, and the texts between and the decoded pieces are put together again.
-Layers repeat on the new text up to a depth. Nothing leaves the JVM and nothing is shuffled.
+Layers repeat on the new text up to a depth. Only byte offsets are counted outside the JVM, and
+only pieces at one offset meet in a shuffle.
 """
 
 from __future__ import annotations

@@ -3,11 +3,14 @@
 The join of texts and patterns runs in two steps. First every text gets the list of the
 patterns that could match it: those whose files it is of, and whose required literals it
 holds. That is substring search, and leaves few pairs. Then each pair's regular expression
-runs, and the positions of its matches follow from the texts between them, all in the JVM.
+runs in the JVM. Of the pairs that match, the few that there are, the texts between the matches
+give the places (``places``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from scanfold.session import spread
 DOC_EXTENSIONS = ["md", "txt", "rst", "adoc"]
 CAP_EXEMPT = ("INJECT-", "AUTH-", "HIDDEN-", "MDCODE-")
 MAX_SCAN_BYTES = 10 << 20
+BLOCK = 5_000  # patterns of one pass over the texts
 GROUP = 60  # patterns in one expression: larger ones exceed what the JVM compiles
 
 
@@ -48,17 +52,19 @@ def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, p
 
     Every non-overlapping match of every pattern, in order, less those whose matched text alone an exclude pattern
     matches. Null and empty texts have none. Texts of more than ``max_bytes`` aren't scanned, which ``results`` reports.
-    Offsets count bytes, lines and columns from 1.
+    Offsets count bytes, lines and columns from 1. More than ``BLOCK`` patterns take a pass over the texts for each block.
     """
     spark = files.sparkSession
+    if len(patterns) > BLOCK:
+        parts = [matches(files, patterns[a : a + BLOCK], row_id, text, path, max_bytes) for a in range(0, len(patterns), BLOCK)]
+        return reduce(DataFrame.unionByName, parts)
     rows = [(k, p.rule_id, p.pattern_no, java_pattern(p.pattern), list(map(java_pattern, p.excludes)), p.severity_rank, p.title) for k, p in enumerate(patterns)]
     table = spark.createDataFrame(rows, "__k int, rule_id string, pattern_no int, __p string, __x array<string>, rule_rank int, title string")
     src = files.select(F.col(row_id).alias("__id"), F.col(path).alias("__path"), F.col(text).alias("__t")).where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= max_bytes))
     low = F.lower("__t") if any(not p.exact for p in patterns) else F.col("__t")
-    src = spread(src).withColumns({"__low": low, "__ext": T.extension(F.col("__path")), "__name": F.lower(T.file_name(F.col("__path")))})
-    hit = src.withColumn("__c", F.expr(_candidates(patterns)))
+    src = spread(src).select("*", low.alias("__low"), T.extension(F.col("__path")).alias("__ext"), F.lower(T.file_name(F.col("__path"))).alias("__name"))
     # explode would add a filter on the list, and with it build the list twice
-    pairs = hit.select("__id", "__path", "__t", F.explode_outer("__c").alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # a row per pattern, at most MAX_RULES rules
+    pairs = src.select("__id", "__path", "__t", F.explode_outer(F.expr(_candidates(patterns))).alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # at most BLOCK rows
     found = pairs.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0).withColumn("__g", F.split("__t", F.col("__p"), -1))
     each = places.placed(found.select("__id", "__path", "rule_id", "title", "rule_rank", "pattern_no", "__x", "__m", "__g"), "__m", "__g")
     return each.where(~F.exists("__x", lambda x: F.regexp_like("matched", x))).drop("__x").withColumnsRenamed({"__id": row_id, "__path": path})

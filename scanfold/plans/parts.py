@@ -16,7 +16,7 @@ from scanfold.plans.paths import _P as _PATHS
 from scanfold.plans.paths import ROOT, _in, _paths, _relative
 from scanfold.plans.report import _F, _HASH, _RULE, _findings
 from scanfold.plans.scan import SCAN_SQL
-from scanfold.session import work_dir
+from scanfold.session import work_dir, written
 from scanfold.sinks import report as sinks
 from scanfold.sources import discovery
 from scanfold.sources.tables import table
@@ -182,6 +182,7 @@ def adjusted_severities(spark: SparkSession, d: str) -> DataFrame:
     Reachable is what the instruction files among the scanned paths lead to: each names the README.md and the notes beside it.
     """
     f = _findings(spark, d, "path", "rule_id", "snippet").where(F.col("finding_id").isNotNull() & F.col("path").isNotNull()).withColumn("rule_id", rule_key(F.col("rule_id")))
+    f = written(f, "findings")  # read by each of the steps below
     files = f.select("path").distinct().withColumn("root", F.regexp_extract("path", ROOT, 1))
     files = files.withColumn("text", F.when(trace.is_instruction(F.col("path")), "Read README.md first, then run `setup.sh`, see [notes](NOTES.md)."))
     starts = files.where(trace.is_instruction(F.col("path"))).select(F.col("path").alias("instruction"))

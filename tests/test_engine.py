@@ -109,6 +109,15 @@ def test_a_text_with_many_matches(spark, rule_table):
     assert tuple(got) == (400_000, 400_000, 8 * 399_999) and time.monotonic() - began < 60
 
 
+def test_many_patterns_in_blocks(spark, monkeypatch):
+    rows_ = [(f"R-{k}", "t", "low", [f"w{k}x"], [], [], [], [], True) for k in range(25)]
+    patterns, bad = R.compile_rules(spark.createDataFrame(rows_, SCHEMA))
+    texts = spark.createDataFrame([(1, "w3x w24x", "a.py"), (2, "w0x", "b")], "i int, t string, p string")
+    whole = sorted((r.i, r.rule_id) for r in scan.matches(texts, patterns, "i", "t", "p").collect())
+    monkeypatch.setattr(scan, "BLOCK", 4)
+    assert not bad and sorted((r.i, r.rule_id) for r in scan.matches(texts, patterns, "i", "t", "p").collect()) == whole == [(1, "R-24"), (1, "R-3"), (2, "R-0")]
+
+
 def test_files_too_large_are_reported(spark, rule_table):
     files = spark.createDataFrame([(1, "a/x.py", "1.2.3.4"), (2, "b", "1.2.3.4 " * 9), (3, "c", None), (4, "d", "")], "id int, path string, text string")
     got = {r.id: (r.content_hash is not None, r.n_bytes, r.scanned) for r in scan.results(files, "id", "text", "path", max_bytes=20).collect()}
