@@ -132,17 +132,22 @@ def tree(roots: DataFrame, depth: int, unpack: bool = False) -> DataFrame:
     lies deeper than ``depth``. Grouped by ``path`` the nodes are the flat tables of the schema. One chain of projections: a step
     takes the newest nodes apart and passes the others on, so nothing is parsed or read twice.
     """
-    now = roots.select("label", "path", "v", F.lit(True).alias("open"))
-    old = F.struct("label", "path", "v", F.lit(False).alias("open"))
+    kind, value = value_kind(F.col("v")), F.to_json("v")
+    none = F.lit(None).cast("string")
+    # a node waits with its value, or is done and keeps what its row needs
+    done = lambda v, k, x: F.struct(F.col("label").alias("label"), F.col("path").alias("path"), v.alias("v"), k.alias("kind"), x.alias("value"))
+    no_value = F.lit(None).cast("variant")
+    no_nodes = F.array().cast("array<struct<label string, path string, v variant, kind string, value string>>")
+    now = roots.select("label", "path", "v", none.alias("kind"), none.alias("value"))
     for _ in range(depth):
-        new = F.transform(_children(F.col("v"), F.col("path"), F.col("label"), None, unpack), lambda c: F.struct(c["label"], c["path"], c["v"], F.lit(True).alias("open")))
-        kind = value_kind(F.col("v"))
-        me = F.when(kind == "list", F.array().cast("array<struct<label string, path string, v variant, open boolean>>")).otherwise(F.array(old))
-        both = F.when(F.col("open") & kind.isin("object", "list"), F.concat(me, new)).otherwise(F.array(old))
-        now = now.select(F.explode(both).alias("n")).select("n.*")
-    kind = value_kind(F.col("v"))
-    deeper = F.col("open") & kind.isin("object", "list")
-    return now.where(kind != "null").select("path", "label", parent(F.col("label")).alias("parent"), kind.alias("kind"), F.when(deeper | ~kind.isin("object", "list"), F.to_json("v")).alias("value"))
+        # an explode of one value keeps the kind from being found anew in every expression
+        now = now.select("*", F.explode(F.array(F.when(F.col("v").isNotNull(), kind))).alias("k"))
+        k = F.col("k")
+        new = F.transform(_children(F.col("v"), F.col("path"), F.col("label"), None, unpack), lambda c: F.struct(c["label"].alias("label"), c["path"].alias("path"), c["v"].alias("v"), none.alias("kind"), none.alias("value")))
+        inner = F.when(k == "object", F.concat(F.array(done(no_value, k, none)), new)).when(k == "list", new).when(k == "null", no_nodes).otherwise(F.array(done(no_value, k, value)))
+        now = now.select(F.explode(F.when(k.isNull(), F.array(done(no_value, F.col("kind"), F.col("value")))).otherwise(inner)).alias("n")).select("n.*")
+    now = now.select("path", "label", F.coalesce("kind", kind).alias("kind"), F.coalesce("value", value).alias("value"))
+    return now.where(F.col("kind") != "null").select("path", "label", parent(F.col("label")).alias("parent"), "kind", "value")
 
 
 def records(df: DataFrame, record_id: str, payload: str, wrappers: list[str]) -> DataFrame:
