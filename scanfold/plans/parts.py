@@ -296,10 +296,35 @@ def report_document(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "format string, marks long, rules long")
 
 
+def readable_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bytes, every seventh of them with a byte that is no UTF-8: what can be read as text."""
+    doc = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    odd = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    raw = doc.select(F.concat(F.lit("file:///r/"), "doc_id").alias("path"), F.col("received_at").alias("modificationTime"), F.concat(F.encode("text", "utf-8"), odd).alias("content"))
+    return watch.text_files(raw).select("path", F.md5("text").alias("text_md5"))
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events as contents of files, run as a stream: each content of a file once."""
+    e = _event_stream(spark, d).select(F.concat(F.lit("/e/"), "user_id").alias("path"), F.col("event_type").alias("text"), "ts")
+    return watch.run_to_table(watch.once_per_content(e, "400 days").select("path", "text"), "once", "append")
+
+
+def alert_states(spark: SparkSession, d: str) -> DataFrame:
+    """Events as alerts, run as a stream with a state for each user: what it says at first."""
+    e = _event_stream(spark, d).select("user_id", F.col("event_type").alias("alert"), "ts")
+    return watch.run_to_table(watch.alert_state(e, "user_id", "ts"), "alerts", "update").select("channel", "alert", "ts", "state")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        path_agent_walk, home_discovery, project_types, component_names, components_by_depth, repository_names, rule_categories, rules_filtered, rules_checked, rules_from_files, scan_without_rules, scan_file_results,
+        readable_files, stream_once, alert_states, path_agent_walk, home_discovery, project_types, component_names, components_by_depth, repository_names, rule_categories, rules_filtered, rules_checked, rules_from_files, scan_without_rules, scan_file_results,
         message_scan, engine_rule_counts, referenced_by, installed_files, tree_scope_counts, detection_contexts, adjusted_severities, high_entropy_strings, deps_malicious, deps_sections, model_prompts, model_answers,
         snippet_heads, trust_store, baseline_stored, cache_stored, report_lines, report_document,
     )
@@ -341,6 +366,9 @@ def _sql_text(x: str) -> str:
 
 _ASK = [_sql_text(x) for x in model.QUESTION.split("%s")]
 ORACLE = {
+    "readable_files": "select '/r/' || doc_id path, md5(text) text_md5 from documents where doc_id is not null and text is not null and doc_id % 7 <> 0",
+    "stream_once": "select distinct '/e/' || user_id path, event_type as text from events where ts is not null",
+    "alert_states": "select user_id::varchar channel, event_type alert, ts, 'new' state from events where user_id is not null qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1",
     "path_agent_walk": _PATHS + f"select path, {_KINDS.format(e='ext')} kind, name from p where ext in {_in(discovery.AGENT_FILES)}",
     "home_discovery": _PATHS
     + f""", k as (select path, name, {_KINDS.format(e="ext")} kind, {_SKILL} skill, ext, rel, len(string_split(rel, '/')) - 1 deep from p where rel <> path and ext not in {_in(paths.BINARY)}),
