@@ -103,6 +103,17 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnsRenamed({"producer": "pack", "release": "release_no"})
 
 
+def p4_value_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each record has in the one table: none is lost."""
+    t = p4_records(spark, d)
+    names = [c for c in t.columns if c not in ("pack", "release_no", "record_no")]
+    held = [F.col(f"`{c}`").isNotNull().cast("int") for c in names]
+    n = held[0] if held else F.lit(0)
+    for h in held[1:]:
+        n = n + h
+    return t.select("pack", "release_no", "record_no", n.cast("long").alias("n_values"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per metadata entry of each finding, and one for a finding without any."""
     findings = flatten.scan_report_tables(table(spark, d, "raw_reports"))["findings"]
@@ -174,7 +185,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return p5_nodes(spark, d).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("parent").alias("n_parents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_nodes, p5_paths, p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p5_found, p5_reports, p5_components, p5_results, p5_results_whole, p5_findings, p5_findings_whole, p5_locations, p5_metadata)}
+QUERIES = {f.__name__: f for f in (p5_nodes, p5_paths, p1_found, p1_rule_timeline, p3_found, p3_rates, p4_found, p4_lifespans, p4_records, p4_value_counts, p5_found, p5_reports, p5_components, p5_results, p5_results_whole, p5_findings, p5_findings_whole, p5_locations, p5_metadata)}
 
 _RULE = r"""
   case when regexp_matches(upper(trim({c}, chr(9) || chr(10) || chr(13) || chr(32))), '^[A-Z]+[^A-Z0-9]*[0-9]+$')
@@ -248,6 +259,7 @@ union all select pack, release_no, nf, 'retyped', '' from ren where ot <> nt
 union all select pack, release_no, field, 'retyped', '' from w where prev_pos = pos - 1 and typ <> prev_typ
 union all select pack, release_no, of, 'removed', '' from ends e where not exists (select 1 from ren r where r.pack = e.pack and r.release_no = e.release_no and r.of = e.of)
 union all select pack, release_no, nf, 'added', '' from starts s where not exists (select 1 from ren r where r.pack = s.pack and r.release_no = s.release_no and r.nf = s.nf)""",
+    "p4_value_counts": _P4_FIELDS + "select pack, release_no, record_no, count(*) n_values from t group by all",
     "p4_lifespans": _P4_FIELDS
     + """,
 i as (select *, pos - row_number() over (partition by pack, field, typ order by pos) island from p)
