@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanfold import rules as R
@@ -35,6 +35,22 @@ def scan_snippets(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).select("doc_id", "rule_id", "pattern_no", "match_no", "snippet")
 
 
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that end with calls as the patterns of one rule describe them, under a name that the rule is for."""
+    w = Window.orderBy("rule_id")  # rules are configuration: few rows
+    call = lambda p: F.concat(F.regexp_extract(p, r"\\b([a-z]+)", 1), F.lit("(x, "), F.regexp_extract(p, r"([a-z]+)[^a-z]*$", 1), F.lit(");"))
+    r = table(spark, d, "rules").select((F.row_number().over(w) - 1).alias("no"), F.array_join(F.transform("patterns", call), "\n").alias("calls"), F.coalesce(F.get("file_names", F.lit(0)), F.concat(F.lit("x."), F.coalesce(F.get("file_extensions", F.lit(0)), F.lit("py")))).alias("name"))
+    doc = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "text", (F.col("doc_id") % 120).cast("int").alias("no"))
+    return doc.join(F.broadcast(r), "no").select("doc_id", F.concat(F.format_string("p/%d/", "doc_id"), "name").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "calls").alias("text"))  # 120 rules
+
+
+def scan_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the planted documents by rule: how many, in how many documents, and where."""
+    patterns, _ = R.compile_rules(table(spark, d, "rules"))
+    f = scan.findings(_planted(spark, d), patterns, "doc_id", "text", "path")
+    return f.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum("byte_offset").alias("offsets"), F.sum("line").alias("lines"), F.sum("col").alias("cols"))
+
+
 def scan_severity_counts(spark: SparkSession, d: str) -> DataFrame:
     """Findings by severity; a row for each of the five, found or not."""
     n = _found(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
@@ -70,7 +86,7 @@ def rule_self_tests(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("rule_id").agg(F.count("*").alias("n_tests"), F.count_if("passed").alias("n_passed"))
 
 
-QUERIES = {f.__name__: f for f in (scan_findings, scan_message_context, scan_snippets, scan_severity_counts, scan_rule_totals, rule_inventory, rules_by_source, rules_tagged, rule_self_tests)}
+QUERIES = {f.__name__: f for f in (scan_findings, scan_message_context, scan_snippets, scan_planted, scan_severity_counts, scan_rule_totals, rule_inventory, rules_by_source, rules_tagged, rule_self_tests)}
 
 # texts x patterns, the places of the matches from the texts between them
 SCAN_SQL = r"""
@@ -98,6 +114,11 @@ select rule_id, count(*) n_tests, count(*) filter (matched = expected) n_passed
 ORACLE = {
     "scan_findings": _SQL + "select doc_id, rule_id, pattern_no, match_no, matched, byte_offset, line, col, severity from found",
     "scan_message_context": SCAN_SQL.format(where="(len(contexts) = 0 or list_contains(contexts, 'message')) and") + "select doc_id, rule_id, pattern_no, match_no, byte_offset, severity from found where sev_rank >= 2",
+    "scan_planted": SCAN_SQL.format(where="").replace("with p as", r"""with pr as (select row_number() over (order by rule_id) - 1 as no, array_to_string(list_transform(patterns, lambda x: regexp_extract(x, '\\b([a-z]+)', 1) || '(x, ' || regexp_extract(x, '([a-z]+)[^a-z]*$', 1) || ');'), chr(10)) calls,
+  coalesce(file_names[1], 'x.' || coalesce(file_extensions[1], 'py')) as fname from rules),
+planted as (select doc_id, 'p/' || doc_id || '/' || fname path, coalesce(text, '') || chr(10) || calls as text from documents join pr on no = doc_id % 120 where doc_id is not null),
+p as""").replace("from documents d, p", "from planted d, p")
+    + "select rule_id, severity, count(*) n, count(distinct doc_id) n_docs, sum(byte_offset)::bigint offsets, sum(line)::bigint lines, sum(col)::bigint cols from found group by all",
     # as many characters to either side as fill fifty bytes
     "scan_snippets": _SQL
     + """, w as (select *, substr(text, length(pre) + length(matched) + 1) post from found),
