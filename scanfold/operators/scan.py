@@ -23,6 +23,7 @@ DOC_EXTENSIONS = ["md", "txt", "rst", "adoc"]
 CAP_EXEMPT = ("INJECT-", "AUTH-", "HIDDEN-", "MDCODE-")
 MAX_SCAN_BYTES = 10 << 20
 BLOCK = 5_000  # patterns of one pass over the texts
+BITS = 60  # literals in one set
 GROUP = 60  # patterns in one expression: larger ones exceed what the JVM compiles
 
 
@@ -30,21 +31,29 @@ def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
-def _candidates(patterns: list[Pattern]) -> str:
-    """array<int> of the patterns that could match a row with the columns __t, __low, __ext and __name.
+def _candidates(patterns: list[Pattern]) -> tuple[list[str], str]:
+    """Bit sets of the literals that a row with the columns __t and __low holds, and array<int> of the patterns that could match it.
 
-    One SQL text: as an expression put together piece by piece it would cost the driver a second.
+    Patterns share literals, so each is looked for once; what a pattern needs is a mask of the sets __b0, __b1, ... The columns __ext and
+    __name say which rules are for the file. SQL texts: as expressions put together piece by piece they would cost the driver a second.
     """
+    at = {x: k for k, x in enumerate(dict.fromkeys((p.exact, x) for p in patterns for x in p.literals))}
+    looks = [f"CASE WHEN contains({'__t' if exact else '__low'}, {_quoted((x,))}) THEN {1 << k % BITS}L ELSE 0L END" for (exact, x), k in at.items()]
+    sets = [" | ".join(looks[a : a + BITS]) for a in range(0, len(looks), BITS)]
     by_files: dict[tuple, list[str]] = {}
     for k, p in enumerate(patterns):
-        holds = " AND ".join(f"contains({'__t' if p.exact else '__low'}, {_quoted((x,))})" for x in p.literals)
+        masks: dict[int, int] = {}
+        for x in p.literals:
+            n = at[p.exact, x]
+            masks[n // BITS] = masks.get(n // BITS, 0) | 1 << n % BITS
+        holds = " AND ".join(f"(__b{n} & {m}L) = {m}L" for n, m in masks.items())
         by_files.setdefault((p.extensions, p.names), []).append(f"CASE WHEN {holds or 'true'} THEN {k} END")
     parts = []
     for (exts, names), group in by_files.items():
         applies = " AND ".join(f"{c} IN ({_quoted(v)})" for c, v in (("__ext", exts), ("__name", names)) if v) or "true"
         for a in range(0, len(group), GROUP):
             parts.append(f"CASE WHEN {applies} THEN array_compact(array({', '.join(group[a : a + GROUP])})) ELSE CAST(array() AS array<int>) END")
-    return f"flatten(array({', '.join(parts)}))" if parts else "CAST(array() AS array<int>)"
+    return sets, f"flatten(array({', '.join(parts)}))" if parts else "CAST(array() AS array<int>)"
 
 
 def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, path: str, max_bytes: int = MAX_SCAN_BYTES) -> DataFrame:
@@ -63,8 +72,10 @@ def matches(files: DataFrame, patterns: list[Pattern], row_id: str, text: str, p
     src = files.select(F.col(row_id).alias("__id"), F.col(path).alias("__path"), F.col(text).alias("__t")).where((F.octet_length("__t") > 0) & (F.octet_length("__t") <= max_bytes))
     low = F.lower("__t") if any(not p.exact for p in patterns) else F.col("__t")
     src = spread(src).select("*", low.alias("__low"), T.extension(F.col("__path")).alias("__ext"), F.lower(T.file_name(F.col("__path"))).alias("__name"))
+    sets, candidates = _candidates(patterns)
+    src = src.select("*", *[F.expr(x).alias(f"__b{k}") for k, x in enumerate(sets)])
     # explode would add a filter on the list, and with it build the list twice
-    pairs = src.select("__id", "__path", "__t", F.explode_outer(F.expr(_candidates(patterns))).alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # at most BLOCK rows
+    pairs = src.select("__id", "__path", "__t", F.explode_outer(F.expr(candidates)).alias("__k")).where(F.col("__k").isNotNull()).join(F.broadcast(table), "__k")  # at most BLOCK rows
     found = pairs.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0).withColumn("__g", F.split("__t", F.col("__p"), -1))
     each = places.placed(found.select("__id", "__path", "rule_id", "title", "rule_rank", "pattern_no", "__x", "__m", "__g"), "__m", "__g")
     return each.where(~F.exists("__x", lambda x: F.regexp_like("matched", x))).drop("__x").withColumnsRenamed({"__id": row_id, "__path": path})
