@@ -19,7 +19,7 @@ from itertools import chain
 import regex
 
 SHORT = 256
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_CHARS = 400_000, 128  # words that are kept, and how long they may be
 NO_RANK = 1 << 60
 DEFAULT_DIR = "/opt/tokenizers"
 
@@ -38,7 +38,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Words(dict):
-    """word -> ids; a word not met yet is encoded when asked for."""
+    """word -> ids; a word not met yet is encoded when asked for, and kept if it is of common length."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
@@ -47,7 +47,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self[word] = tuple(encode_word(word.encode("utf-8", "replace"), self.ranks))
+        ids = tuple(encode_word(word.encode("utf-8", "replace"), self.ranks))
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
         return ids
 
 

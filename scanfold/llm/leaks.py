@@ -33,6 +33,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scanfold.session import spread, work_dir
 
@@ -352,7 +353,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     about ``block_words`` words in the shared folder; documents are read and taken apart into words once.
     """
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    itype = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ikind]
+    itype = to_arrow_type(items.schema[item_id].dataType)
     src = spread(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where(F.length("__t") >= MIN_PASSAGE))
     wanted = items.select(F.col(item_id).alias("__i"), F.col(item_text).alias("__t")).where(F.col("__t").isNotNull()).dropDuplicates(["__i", "__t"])
     size = wanted.agg(F.sum(F.length("__t"))).first()[0] or 0

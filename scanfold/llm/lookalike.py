@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scanfold.llm import canon
 
@@ -45,7 +46,7 @@ def disguised_phrases(df: DataFrame, row_id: str, text: str, phrases: DataFrame,
     """
     src = df.select(F.col(row_id).alias("__id"), F.col(text).alias("__text"))
     kind, pkind = src.schema["__id"].dataType.simpleString(), phrases.schema[phrase_id].dataType.simpleString()
-    pid_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[pkind]
+    pid_type = to_arrow_type(phrases.schema[phrase_id].dataType)
     out = df.sparkSession.createDataFrame([], f"__id {kind}, __pid {pkind}")
     known: list[tuple] = []
     for i, p in phrases.select(phrase_id, phrase).where(F.trim(F.coalesce(phrase, F.lit(""))) != "").toLocalIterator():

@@ -126,7 +126,7 @@ _one_value = re.compile(r"^\s*[^\s:=\"'<>]+\s*$")
 _weak_query = {"key", "sig", "signature", "code", "auth", "access", "sas", "hmac", "k", "t"}
 _stop = re.compile(r"[|;]")
 _string = re.compile(r"(?:[^\s\"'`<>(){}\[\],;|=:@/\\]|\\(?!r?\\?n))+")
-_run = re.compile(r"[^\W_]+")
+_run = re.compile(r"[^\W_]{1,1000}")  # a longer run is scored piece by piece
 _value = re.compile(r"""(?:(?P<q>["'`])|[=:]\s*)(?P<v>[0-9A-Za-z_+/.~-]{%d,}=*)(?(q)(?P=q)|(?=[\s,;}\])]|$))""" % KEY_CHARS)
 # What a random string is without being a credential, told by the words before it.
 PLAIN_CONTEXT = re.compile(

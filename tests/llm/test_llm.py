@@ -312,8 +312,19 @@ def test_secrets_key_without_its_begin(encoder, br, width):
         assert [(before + key)[a:b] for a, b, _ in secrets.find(before + key, encoder.count)] == [key]
 
 
+def test_ids_of_other_types(spark):
+    words_ = " ".join("w%d" % (k * k % 97) for k in range(60))
+    docs = spark.createDataFrame([(1, words_), (2, "x")], "d short, t string")
+    items = spark.createDataFrame([(5, words_), (None, "too short")], "i int, t string").selectExpr("cast(i as decimal(10,0)) i", "t")
+    assert [(r.d, int(r.i)) for r in leaks.find_leaks(docs, "d", "t", items, "i", "t").collect()] == [(1, 5)]
+    shown = lookalike.disguised_phrases(spark.createDataFrame([(1, "ѕaved cookie")], "r short, t string"), "r", "t", spark.createDataFrame([(7, "saved cookie")], "p short, t string"), "p", "t")
+    assert [tuple(r) for r in shown.collect()] == [(1, 7)]
+
+
+@needs_vocabulary
 def test_secrets_linear_time(encoder):
     began = time.monotonic()
-    for text in ("curl " * 40_000, "mysql -p " * 20_000, "docker x -p -" * 20_000, "a" * 400_000 + "=", "curl;" * 40_000 + " -u a:b"):
+    rnd = random.Random(6)
+    for text in ("x = '" + "".join(rnd.choices(string.ascii_letters + string.digits, k=1_000_000)) + "'", "curl " * 40_000, "mysql -p " * 20_000, "docker x -p -" * 20_000, "a" * 400_000 + "=", "curl;" * 40_000 + " -u a:b"):
         secrets.find(text, encoder.count)
     assert time.monotonic() - began < 20
